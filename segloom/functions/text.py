@@ -133,7 +133,7 @@ def sanitize_html(c, max_length: int = 10000) -> Column:
     return cut
 
 
-def sanitize_name(c, max_length: int = 255, fallback: str = "file") -> Column:
+def sanitize_name(c, max_length: int = 200, fallback: str = "file") -> Column:
     """Keep letters, digits, ``-_. ``; cap the length but keep the last extension."""
     kept = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"[^\p{L}\p{N}\-_. ]", "")
     name = F.trim(F.regexp_replace(kept, " +", " "))
