@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from segloom.catalog import core, scalars, terms  # noqa: F401
+from segloom.catalog import core, queue, scalars, terms  # noqa: F401
 from segloom.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -166,8 +166,8 @@ def _enforce(spark, d):
 
 @query("batch_glossary", f"""
 WITH {MATCH_CTE}, b AS (SELECT deck_id, CAST(idx // 40 AS INT) AS batch_no, idx FROM segments),
-f AS (SELECT deck_id, batch_no, surface, target, min(idx * 1000000 + i) AS at FROM mt JOIN b USING (deck_id, idx) GROUP BY ALL)
-SELECT deck_id, batch_no, coalesce(string_agg('- ' || surface || ' => ' || target, chr(10) ORDER BY at), 'None') AS terms
+f AS (SELECT deck_id, batch_no, surface, target, min(idx * 1000000 + i) AS place FROM mt JOIN b USING (deck_id, idx) GROUP BY ALL)
+SELECT deck_id, batch_no, coalesce(string_agg('- ' || surface || ' => ' || target, chr(10) ORDER BY place), 'None') AS terms
 FROM (SELECT DISTINCT deck_id, batch_no FROM b) LEFT JOIN f USING (deck_id, batch_no) GROUP BY ALL""", "segments")
 def _batch_glossary(spark, d):
     return M.batch_glossary(X.batches_of_40(spark, d), _merged(spark))
@@ -191,7 +191,7 @@ def _hits(spark, d):
 
 
 @query("spreadsheet_safe", """
-SELECT glossary_id, pos, '"' || replace(CASE WHEN regexp_matches(s, '^[=+\\-@]') THEN chr(9) || s ELSE s END, '"', '""') || '","' || replace(target, '"', '""') || '","' || coalesce(notes, '') || '"' AS line
+SELECT glossary_id, pos, '"' || replace(CASE WHEN regexp_matches(s, '^[=+\\-@]') THEN chr(9) || s ELSE s END, '"', '""') || '","' || replace(CASE WHEN regexp_matches(target, '^[=+\\-@]') THEN chr(9) || target ELSE target END, '"', '""') || '","' || coalesce(notes, '') || '"' AS line
 FROM (SELECT *, CASE WHEN length(source) % 3 = 0 THEN '=' || source ELSE source END AS s FROM lexicon)""", "lexicon")
 def _safe(spark, d):
     odd = X.lexicon(spark, d).withColumn(

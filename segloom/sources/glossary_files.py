@@ -124,13 +124,14 @@ def rules_from_json(docs: DataFrame, json_col: str, *keep: str) -> DataFrame:
     """Rules documents flattened to ``bucket, pos, rule fields``; documents without a bucket give none."""
     schema = ", ".join(f"{b} array<{_RULE}>" for b in RULE_BUCKETS)
     parsed = docs.select(*keep, F.from_json(json_col, schema).alias("d"))
-    stacked = F.concat(*[
-        F.transform(
-            F.coalesce(F.col(f"d.{b}"), F.array().cast(f"array<{_RULE}>")),
-            lambda r, i, b=b: F.struct(F.lit(b).alias("bucket"), i.alias("pos"), r.alias("rule")),
+
+    def tagged(bucket: str):
+        return F.transform(
+            F.coalesce(F.col(f"d.{bucket}"), F.array().cast(f"array<{_RULE}>")),
+            lambda r, i: F.struct(F.lit(bucket).alias("bucket"), i.alias("pos"), r.alias("rule")),
         )
-        for b in RULE_BUCKETS
-    ])
+
+    stacked = F.concat(*[tagged(b) for b in RULE_BUCKETS])
     return parsed.select(*keep, F.explode(stacked).alias("x")).select(*keep, "x.bucket", "x.pos", "x.rule.*")
 
 
