@@ -177,11 +177,11 @@ def model_outputs(spark: SparkSession, d: str) -> DataFrame:
     clash = (F.col("batch_no") % 5 == 3) & (F.col("item") == 2)
     first = b.filter("idx % 17 <> 5").select(
         "deck_id", "batch_no", F.lit(1).alias("attempt"),
-        F.when(clash, F.lit(1)).otherwise(F.col("item")).alias("item_index"),
+        F.when(clash, F.lit(1)).otherwise(F.col("item")).alias("item_index"), F.col("item").alias("seq"),
         F.concat(F.lit("A"), "original_text").alias("text"),
     )
     second = b.filter("batch_no % 2 = 0 or idx % 3 <> 0").select(
-        "deck_id", "batch_no", F.lit(2).alias("attempt"), F.col("item").alias("item_index"),
+        "deck_id", "batch_no", F.lit(2).alias("attempt"), F.col("item").alias("item_index"), F.col("item").alias("seq"),
         F.concat(F.lit("B"), "original_text").alias("text"),
     )
     return first.unionByName(second)
@@ -284,10 +284,10 @@ SELECT deck_id, CAST(idx // 40 AS INT) AS batch_no, CAST(idx % 40 + 1 AS INT) AS
 FROM segments"""),
     "model_outputs": (["batched"], """
 SELECT deck_id, batch_no, CAST(1 AS INT) AS attempt,
-  CASE WHEN batch_no % 5 = 3 AND item = 2 THEN 1 ELSE item END AS item_index, concat('A', original_text) AS text
+  CASE WHEN batch_no % 5 = 3 AND item = 2 THEN 1 ELSE item END AS item_index, item AS seq, concat('A', original_text) AS text
 FROM batched WHERE idx % 17 <> 5
 UNION ALL
-SELECT deck_id, batch_no, CAST(2 AS INT) AS attempt, item AS item_index, concat('B', original_text) AS text
+SELECT deck_id, batch_no, CAST(2 AS INT) AS attempt, item AS item_index, item AS seq, concat('B', original_text) AS text
 FROM batched WHERE batch_no % 2 = 0 OR idx % 3 <> 0"""),
 }
 
