@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from segloom.catalog import batches, core, queue, scalars, styles, terms  # noqa: F401
+from segloom.catalog import batches, core, flows, queue, scalars, styles, terms  # noqa: F401
 from segloom.catalog.registry import ORACLES, QUERIES  # noqa: F401
