@@ -508,7 +508,7 @@ sm AS (SELECT deck_id, substr(trim(coalesce(string_agg(original_text, chr(10) OR
 ct AS (SELECT deck_id, gram, count(*) AS c FROM ({_grams_sql('deck_id', 'sample', 'sm')}) GROUP BY ALL),
 den AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM prof) AS den FROM prof GROUP BY ALL),
 sc AS (SELECT deck_id, lang, sum(c * ln(coalesce(n, 0) + 1)) - sum(c) * ln(any_value(den)) AS s FROM ct CROSS JOIN den LEFT JOIN prof USING (lang, gram) GROUP BY ALL)
-SELECT deck_id, CASE arg_max(lang, s) WHEN 'en' THEN '영어' WHEN 'fr' THEN '프랑스어' WHEN 'de' THEN '독일어' WHEN 'es' THEN '스페인어' END AS language FROM sc GROUP BY deck_id""", "segments")
+SELECT deck_id, coalesce(CASE arg_max(lang, s) WHEN 'en' THEN '영어' WHEN 'fr' THEN '프랑스어' WHEN 'de' THEN '독일어' WHEN 'es' THEN '스페인어' END, '영어') AS language FROM sm LEFT JOIN sc USING (deck_id) GROUP BY deck_id""", "segments")
 def _detect(spark, d):
     return G.detect_language(X.segments(spark, d), G.language_profile(X.table(spark, d, "documents")))
 

@@ -153,11 +153,15 @@ def _validate(spark, d):
     b = X.bitext(spark, d)
     m = F.col("idx") % 4
     pieces = F.regexp_extract_all("target", F.lit(r"\S+\s*"), F.lit(0))
-    bent = F.transform(pieces, lambda x, i: F.concat(
-        F.when((i == 0) & (m == 1), F.lit("   ")).otherwise(F.lit("")), x,
-        F.when((i == F.size(pieces) - 1) & (m == 2), F.lit("  ")).when((i == F.size(pieces) - 1) & (m == 3), F.lit("x")).otherwise(F.lit("")),
+    tail = F.element_at("p", -1)
+    b2 = b.select("deck_id", "idx", pieces.alias("p")).filter(F.size("p") > 0)
+    tailed = F.concat(F.slice("p", F.lit(1), F.size("p") - 1), F.array(
+        F.concat(tail, F.when(m == 2, F.lit("  ")).when(m == 3, F.lit("x")).otherwise(F.lit("")))
     ))
-    styled = b.select("deck_id", "idx", F.posexplode(bent).alias("seg_no", "text")).withColumn("group_index", F.col("seg_no") % 3)
+    b2 = b2.withColumn("p", tailed)
+    first = F.concat(F.when(m == 1, F.lit("   ")).otherwise(F.lit("")), F.get("p", F.lit(0)))
+    bent = F.concat(F.array(first), F.slice("p", F.lit(2), F.size("p") - 1))
+    styled = b2.select("deck_id", "idx", F.posexplode(bent).alias("seg_no", "text")).withColumn("group_index", F.col("seg_no") % 3)
     sizes = b.select("deck_id", "idx", F.when(F.col("idx") % 5 == 0, 2).otherwise(3).alias("n_groups"))
     return S.validate_styled_segments(styled, b, sizes).select("deck_id", "idx", "valid", F.array_join("texts", "").alias("joined"))
 

@@ -20,6 +20,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also inside array lambdas.
+
+    A plain expression used in a lambda is evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _SPACE_RUN = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in V.WHITESPACE) + "]"
 
 
@@ -219,26 +227,32 @@ def is_meaningful_phrase(c) -> Column:
     )
 
 
-def _bigrams(c: Column) -> Column:
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
-    )
+def char_grams(c: Column, n: int) -> Column:
+    """All runs of ``n`` characters, built from shifted character arrays in linear time."""
+    chars = F.split(c, "")
+    grams = chars
+    for k in range(1, n):
+        shifted = F.slice(chars, F.lit(k + 1), F.greatest(F.lit(0), F.size(chars)))
+        grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, b))
+    return F.filter(grams, lambda g: F.length(g) == n)
 
 
 def bigram_dice(a, b) -> Column:
     """Sorensen-Dice over character bigrams counted with multiplicity."""
     x, y = _col(a), _col(b)
-    gx, gy = _bigrams(x), _bigrams(y)
 
     def count(grams: Column, g: Column) -> Column:
         return F.size(F.filter(grams, lambda v: v == g))
 
-    shared = F.aggregate(
-        F.array_distinct(gx), F.lit(0), lambda acc, g: acc + F.least(count(gx, g), count(gy, g))
-    )
+    def score(v: Column) -> Column:
+        shared = F.aggregate(
+            F.array_distinct(v["gx"]), F.lit(0), lambda acc, g: acc + F.least(count(v["gx"], g), count(v["gy"], g))
+        )
+        return shared * F.lit(2.0) / (F.size(v["gx"]) + F.size(v["gy"]))
+
     empty = (F.length(x) < 2) | (F.length(y) < 2)
     return F.when(empty, F.when(x == y, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(
-        shared * F.lit(2.0) / (F.length(x) + F.length(y) - 2)
+        let(F.struct(char_grams(x, 2).alias("gx"), char_grams(y, 2).alias("gy")), score)
     )
 
 

@@ -165,13 +165,15 @@ def glossary_hits_first(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     if terms is None:
         raise ValueError(f"active glossaries may hold at most {V.MAX_GLOSSARY_ENTRIES} terms")
     constant = F.lit([t["source"] for t in terms])
-    text = F.lower("original_text")
 
-    def occurs(t: Column) -> Column:
-        return F.contains(text, F.lower(t))
+    def split(v: Column) -> Column:
+        def occurs(t: Column) -> Column:
+            return F.contains(v, F.lower(t))
 
-    return segments.select(
-        "deck_id", "idx",
-        F.filter(constant, occurs).alias("hits"),
-        F.filter(constant, lambda t: ~occurs(t)).alias("others"),
-    ).withColumn("terms", F.concat("hits", "others"))
+        return F.struct(
+            F.filter(constant, occurs).alias("hits"), F.filter(constant, lambda t: ~occurs(t)).alias("others")
+        )
+
+    return segments.select("deck_id", "idx", T.let(F.lower("original_text"), split).alias("s")).select(
+        "deck_id", "idx", "s.hits", "s.others", F.concat("s.hits", "s.others").alias("terms")
+    )

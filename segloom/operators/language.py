@@ -14,10 +14,7 @@ GRAM = 3
 def _grams(text: Column) -> Column:
     """Trigrams of the lower-cased letters, words padded with single spaces."""
     plain = F.concat(F.lit(" "), T.strip(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
-    n = F.length(plain) - GRAM + 1
-    return F.when(n < 1, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(plain, i, F.lit(GRAM)))
-    )
+    return T.char_grams(plain, GRAM)
 
 
 def language_profile(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -37,15 +37,23 @@ def phrase_spans(target: Column, phrase: Column) -> Column:
             edge.rlike(word) & beside.rlike(word)
         )
 
+    # a zero-width split cuts before every occurrence; only an occurrence at the start is silent
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    cuts = F.aggregate(
+        F.split(target, quoted, -1),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")),
+        lambda acc, piece: F.struct(
+            (acc["at"] + F.length(piece)).alias("at"), F.concat(acc["s"], F.array(acc["at"])).alias("s")
+        ),
+        lambda acc: acc["s"],
+    )
+    starts = F.filter(cuts, lambda p: (p > 0) | F.startswith(target, phrase))
     first, last = F.substring(phrase, 1, 1), F.right(phrase, F.lit(1))
-    starts = F.when(F.length(target) >= n, F.sequence(F.lit(1), F.length(target) - n + 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(
+    return F.filter(
         starts,
-        lambda p: (F.substring(target, p, n) == phrase)
-        & ~((p > 1) & blocked(first, F.substring(target, p - 1, F.lit(1))))
-        & ~((p + n <= F.length(target)) & blocked(last, F.substring(target, p + n, F.lit(1)))),
+        lambda p: ~((p > 0) & blocked(first, F.substring(target, p, F.lit(1))))
+        & ~((p + n < F.length(target)) & blocked(last, F.substring(target, p + n + 1, F.lit(1)))),
     )
-    return F.transform(found, lambda p: p - 1)
 
 
 def replace_phrase_once(target: Column, phrase: Column, new: Column, spans: Column) -> Column:
@@ -65,10 +73,7 @@ _UNSPACED = f"[{V.PHRASE_CJK_CLASS}{V.HANGUL_CLASS}]"
 
 
 def _bigrams_with_cjk(c: Column) -> Column:
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))
-    )
-    return F.when(c.rlike(_UNSPACED), F.filter(pairs, lambda g: g.rlike(_UNSPACED))).otherwise(
+    return F.when(c.rlike(_UNSPACED), F.filter(T.char_grams(c, 2), lambda g: g.rlike(_UNSPACED))).otherwise(
         F.array().cast("array<string>")
     )
 

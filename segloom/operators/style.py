@@ -124,15 +124,25 @@ def validate_styled_segments(styled: DataFrame, bitext: DataFrame, n_groups: Dat
         "__first": F.array_position(filled, F.lit(True)).cast("int"),
         "__last": (F.size("__p") + 1 - F.nullif(F.array_position(F.reverse(filled), F.lit(True)), F.lit(0))).cast("int"),
     })
-    headed = F.transform("__p", lambda x, i: F.when(
-        (F.col("__lead") > 0) & (i + 1 == F.col("__first")), F.substring(x, F.col("__lead") + 1, F.length(x))
-    ).when((F.col("__lead") < 0) & (i == 0), F.concat(F.repeat(F.lit(" "), -F.col("__lead")), x)).otherwise(x))
-    rows = rows.withColumn("__h", headed)
-    last = F.coalesce("__last", F.lit(1))
-    repaired = F.transform("__h", lambda x, i: F.when(
-        (F.col("__trail") > 0) & (i + 1 == last), F.substring(x, F.lit(1), F.length(x) - F.col("__trail"))
-    ).when((F.col("__trail") < 0) & (i + 1 == F.size("__h")), F.concat(x, F.repeat(F.lit(" "), -F.col("__trail")))).otherwise(x))
-    rows = rows.withColumn("__r", repaired)
+
+    def edit_at(parts: str, at: Column, new) -> Column:
+        return F.concat(
+            F.slice(parts, F.lit(1), at - 1), F.array(new(F.get(parts, at - 1))),
+            F.slice(parts, at + 1, F.greatest(F.lit(0), F.size(parts) - at)),
+        )
+
+    one, n = F.lit(1), F.size("__p")
+    head = F.when((F.col("__lead") > 0) & (F.col("__first") > 0), edit_at(
+        "__p", F.greatest(one, F.col("__first")), lambda x: F.substring(x, F.col("__lead") + 1, F.length(x))
+    )).when(F.col("__lead") < 0, edit_at("__p", one, lambda x: F.concat(F.repeat(F.lit(" "), -F.col("__lead")), x))).otherwise(F.col("__p"))
+    rows = rows.withColumn("__h", head)
+    last = F.coalesce("__last", one)
+    tail = F.when(F.col("__trail") > 0, edit_at(
+        "__h", last, lambda x: F.substring(x, one, F.length(x) - F.col("__trail"))
+    )).when(F.col("__trail") < 0, edit_at(
+        "__h", F.greatest(one, n), lambda x: F.concat(x, F.repeat(F.lit(" "), -F.col("__trail")))
+    )).otherwise(F.col("__h"))
+    rows = rows.withColumn("__r", F.when(F.col("__ok"), tail))
     exact = F.col("__ok") & (F.col("__j") == F.col("__t"))
     mended = F.col("__ok") & (T.strip("__j") == T.strip("__t")) & (F.array_join("__r", "") == F.col("__t"))
     return rows.select(

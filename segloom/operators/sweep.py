@@ -115,9 +115,11 @@ def _constant_violations(rows: DataFrame, terms: list[dict]) -> DataFrame:
     if not terms:
         hits = rows.limit(0).withColumn("__t", F.lit(None).cast("struct<pos:bigint,source:string,target:string>"))
     else:
-        wrong = F.filter(
-            _term_array(terms),
-            lambda t: F.contains(F.col("src_n"), t["n"]) & ~F.contains(F.col("tgt_n"), t["tn"]),
+        wrong = T.let(
+            F.struct("src_n", "tgt_n"),
+            lambda v: F.filter(
+                _term_array(terms), lambda t: F.contains(v["src_n"], t["n"]) & ~F.contains(v["tgt_n"], t["tn"])
+            ),
         )
         hits = rows.withColumn("__t", F.explode(wrong))
     return _violation(hits.withColumn("__pos", F.col("__t.pos")))
@@ -128,10 +130,7 @@ def _gram_violations(rows: DataFrame, terms: DataFrame, max_terms: int) -> DataF
     short = bounded_rows(terms.filter(F.length("n") < GRAM), max_terms)
     if short is None:
         raise ValueError(f"more than {max_terms} glossary terms are shorter than {GRAM} characters")
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("src_n") - GRAM + 1)),
-        lambda i: F.substring(F.col("src_n"), i, F.lit(GRAM)),
-    ))
+    grams = F.array_distinct(T.char_grams(F.col("src_n"), GRAM))
     candidates = rows.withColumn("__gram", F.explode(grams)).join(
         long_terms.select("__gram", F.struct("pos", "source", "target", "n", "tn").alias("__t")), "__gram"
     )
@@ -166,9 +165,12 @@ def locked_term_join(bitext: DataFrame, locked: DataFrame, *, max_terms: int = V
     if not small:
         hits = rows.limit(0).withColumn("__t", F.lit(None).cast("struct<pos:bigint,source:string,target:string>"))
     else:
-        near = F.filter(
-            _term_array([r.asDict() for r in small]),
-            lambda t: F.contains(F.col("tgt_n"), t["n"]) & ~F.contains(F.col("target"), t["target"]),
+        near = T.let(
+            F.struct("tgt_n", "target"),
+            lambda v: F.filter(
+                _term_array([r.asDict() for r in small]),
+                lambda t: F.contains(v["tgt_n"], t["n"]) & ~F.contains(v["target"], t["target"]),
+            ),
         )
         hits = rows.withColumn("__t", F.explode(near))
     # locked terms of a segment come after all its glossary terms
