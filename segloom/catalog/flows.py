@@ -478,14 +478,10 @@ def _cube(spark, d):
 
 # language ---------------------------------------------------------------------------------------
 
-def _plain_sql(text: str) -> str:
-    return f"(' ' || trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g')) || ' ')"
-
-
 def _grams_sql(keys: str, text: str, frm: str) -> str:
-    """Trigram rows; the padded text is made once and split into characters before windows are cut."""
-    return f"""SELECT {keys}, ch[i] || ch[i + 1] || ch[i + 2] AS gram FROM (SELECT {keys}, ch, unnest(range(1, len(ch) - 1)) AS i
-  FROM (SELECT {keys}, string_split({_plain_sql(text)}, '') AS ch FROM {frm}))"""
+    """Trigram rows of padded words."""
+    words = f"SELECT {keys}, ' ' || unnest(string_split_regex(lower({text}), '[^\\p{{L}}]+')) || ' ' AS w FROM {frm}"
+    return f"SELECT {keys}, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS gram FROM ({words}) WHERE w <> '  '"
 
 
 _PROFILE = f"prof AS (SELECT lang, gram, count(*) AS n FROM ({_grams_sql('lang', 'text', 'documents')}) GROUP BY ALL)"

@@ -28,7 +28,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_SPACE_RUN = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in V.WHITESPACE) + "]"
+# Java's Unicode \\s knows every Python whitespace character but these four
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _spaced(c: Column) -> Column:
+    return F.translate(c, _SEPARATORS, " " * len(_SEPARATORS))
 
 
 def strip(c) -> Column:
@@ -54,7 +59,8 @@ def clean_text(c) -> Column:
 
 
 def collapse_ws(c) -> Column:
-    return F.regexp_replace(_col(c), _SPACE_RUN + "+", " ")
+    """Every whitespace run to one space."""
+    return F.regexp_replace(_spaced(_col(c)), r"(?U)\s+", " ")
 
 
 def norm_text(c) -> Column:
@@ -87,20 +93,21 @@ def has_cjk(c) -> Column:
 
 def letter_words(c) -> Column:
     """Number of whitespace-separated words that hold at least one letter."""
-    ns = _SPACE_RUN.replace("[", "[^", 1)
-    return F.regexp_count(_col(c), F.lit(f"{ns}*\\p{{L}}{ns}*"))
+    return F.regexp_count(_spaced(_col(c)), F.lit(r"(?U)\S*\p{L}\S*"))
 
 
 def looks_like_prose(c) -> Column:
     """A function word stands alone (edge punctuation aside), or 4+ words end a sentence."""
     text = _col(c)
-    punct = r"[.,;:!?()\[\]'\"]*"
-    words = "|".join(V.FUNCTION_WORDS)
-    function_word = text.rlike(
-        f"(?iu)(?:^|{_SPACE_RUN}){punct}(?:{words}){punct}(?:{_SPACE_RUN}|$)"
+    return has_function_word(norm_text(text)) | (
+        rstrip(text).rlike(r"[.!?]\z") & (letter_words(text) >= 4)
     )
-    closed = rstrip(text).rlike(r"[.!?]\z") & (letter_words(text) >= 4)
-    return function_word | closed
+
+
+def has_function_word(norm) -> Column:
+    """Whether a text in matching form has a function word standing alone."""
+    punct = r"[.,;:!?()\[\]'\"]*"
+    return _col(norm).rlike(f"(?:^| ){punct}(?:{'|'.join(V.FUNCTION_WORDS)}){punct}(?: |$)")
 
 
 def char_limit(source, pct: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segloom.functions import text as T
@@ -11,17 +11,24 @@ from segloom.functions import values as V
 GRAM = 3
 
 
-def _grams(text: Column) -> Column:
-    """Trigrams of the lower-cased letters, words padded with single spaces."""
-    plain = F.concat(F.lit(" "), T.strip(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
-    return T.char_grams(plain, GRAM)
+def gram_counts(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Trigrams of space-padded lower-case words per key: ``keys, gram, n``.
+
+    Words are counted first, so grams are only cut from distinct words.
+    """
+    words = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
+    counted = texts.select(*keys, F.explode(words).alias("word")).filter("word <> ''").groupBy(*keys, "word").agg(
+        F.count(F.lit(1)).alias("c")
+    )
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    return counted.select(*keys, "c", F.explode(T.char_grams(padded, GRAM)).alias("gram")).groupBy(*keys, "gram").agg(
+        F.sum("c").alias("n")
+    )
 
 
 def language_profile(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Trigram counts per language: ``lang, gram, n``."""
-    return docs.select(F.col(lang).alias("lang"), F.explode(_grams(F.col(text))).alias("gram")).groupBy("lang", "gram").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return gram_counts(docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")), ["lang"], "text")
 
 
 def deck_samples(segments: DataFrame, first: int = 50, chars: int = 500) -> DataFrame:
@@ -45,9 +52,7 @@ def detect_code(texts: DataFrame, profile: DataFrame, keys: list[str], text: str
     weights = profile.join(base, "lang").select(
         "gram", F.struct("lang", (F.ln(F.col("n") + 1)).alias("gain")).alias("w")
     ).groupBy("gram").agg(F.collect_list("w").alias("ws"))
-    counted = texts.select(*keys, F.explode(_grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(
-        F.count(F.lit(1)).alias("c")
-    )
+    counted = gram_counts(texts, keys, text).withColumnRenamed("n", "c")
     gains = counted.join(weights, "gram").select(*keys, "c", F.explode("ws").alias("w")).groupBy(*keys, "w.lang").agg(
         F.sum(F.col("c") * F.col("w.gain")).alias("gain")
     )

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from segloom.functions import text as T
 from segloom.functions import values as V
@@ -18,6 +20,13 @@ from segloom.plans.cut import cut
 from segloom.plans.ordering import position2
 from segloom.plans.skew import attach
 
+try:
+    import ahocorasick
+except ImportError:  # the built-in scan below gives the same findings
+    ahocorasick = None
+
+MANY_TERMS = 32
+
 FINDING_COLUMNS = [
     "deck_id", "idx", "type", "severity", "description", "location", "segment",
     "suggested_fix", "term_source", "related_location", "check_rank", "k1", "k2", "k3",
@@ -73,6 +82,11 @@ def _normed(bitext: DataFrame) -> DataFrame:
     return bitext if "src_n" in bitext.columns else with_norms(bitext)
 
 
+def _spoken(bitext: DataFrame) -> DataFrame:
+    """Rows with text on both sides (blankness is cheaper to see than an empty matching form)."""
+    return _normed(bitext.filter(~T.is_blank("original_text") & ~T.is_blank("target")))
+
+
 def _term_array(rows: list[dict]) -> Column:
     """A driver-side term list as one constant array (folded by the optimiser)."""
     return F.from_json(
@@ -97,11 +111,11 @@ def term_violation_join(
     """Source holds a term (plain substring) but the target lacks its translation.
 
     A glossary within the supported entry limit travels as a constant and each segment is scanned
-    once, in place. A larger one is matched through shared character grams: a term can only occur
+    once, in place (with an automaton when there are many terms). A larger one is matched through shared character grams: a term can only occur
     in a segment that has the term's first ``GRAM`` characters, so an equi-join on those finds
     every candidate and ``contains`` decides; terms shorter than that stay on the constant path.
     """
-    rows = _normed(bitext).filter("src_n <> '' and tgt_n <> ''")
+    rows = _spoken(bitext)
     terms = _prepared_terms(glossary)
     small = bounded_rows(terms, max_terms)
     if small is not None:
@@ -111,9 +125,31 @@ def term_violation_join(
     return hits
 
 
+def _term_scanner(terms: list[str]):
+    """Positions of the terms that occur in each text, found in one pass whatever their number."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def scan(texts: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            automaton.add_word(term, (*automaton.get(term, ()), i))
+        automaton.make_automaton()
+        return texts.map(lambda text: sorted({i for _, found in automaton.iter(text) for i in found}))
+
+    return scan
+
+
 def _constant_violations(rows: DataFrame, terms: list[dict]) -> DataFrame:
     if not terms:
         hits = rows.limit(0).withColumn("__t", F.lit(None).cast("struct<pos:bigint,source:string,target:string>"))
+    elif len(terms) > MANY_TERMS and ahocorasick is not None:
+        wrong = T.let(
+            F.struct("tgt_n", _term_scanner([t["n"] for t in terms])("src_n").alias("hits"), _term_array(terms).alias("terms")),
+            lambda v: F.filter(
+                F.transform(v["hits"], lambda i: F.get(v["terms"], i)), lambda t: ~F.contains(v["tgt_n"], t["tn"])
+            ),
+        )
+        hits = rows.withColumn("__t", F.explode(wrong))
     else:
         wrong = T.let(
             F.struct("src_n", "tgt_n"),
@@ -154,7 +190,7 @@ def locked_term_join(bitext: DataFrame, locked: DataFrame, *, max_terms: int = V
 
     ``locked`` has ``rule_id, term, pos``.
     """
-    rows = _normed(bitext).filter("src_n <> '' and tgt_n <> ''")
+    rows = _spoken(bitext)
     terms = locked.select(
         F.col("pos").cast("long").alias("pos"), F.col("rule_id").cast("string").alias("source"),
         F.col("term").alias("target"), T.norm_text("term").alias("n"), F.lit("").alias("tn"),
@@ -237,20 +273,21 @@ def check_untranslated(
     The unchanged-text test is a filter. ``detected`` (``deck_id, idx, code``: language code of
     each target) adds the second test for changed texts of 12 or more characters.
     """
-    rows = _normed(bitext).filter(
-        (F.col("src_n") != "") & (F.col("tgt_n") != "") & T.has_letters("original_text")
-    )
+    rows = _spoken(bitext)
     if source_lang in V.CJK_LANGUAGES:
         left_as_is = T.has_cjk("original_text")
     else:
-        left_as_is = (T.letter_words("original_text") >= 3) & T.looks_like_prose("original_text")
+        words = T.letter_words("original_text")
+        closed = T.rstrip("original_text").rlike(r"[.!?]\z") & (words >= 4)
+        left_as_is = (words >= 3) & (T.has_function_word("src_n") | closed)
+    # the cheap equality comes first; patterns only run on the rows it leaves
     same = F.col("src_n") == F.col("tgt_n")
-    untranslated = same & left_as_is
+    untranslated = same & T.has_letters("original_text") & left_as_is
     src_iso, tgt_iso = V.LANGUAGE_ISO.get(source_lang), V.LANGUAGE_ISO.get(target_lang)
     if detected is not None and src_iso and src_iso != tgt_iso:
         rows = rows.join(detected.select("deck_id", "idx", F.col("code").alias("__code")), ["deck_id", "idx"], "left")
         untranslated = untranslated | (
-            ~same & (F.length("tgt_n") >= 12) & F.coalesce(F.col("__code") == src_iso, F.lit(False))
+            ~same & (F.length("tgt_n") >= 12) & T.has_letters("original_text") & F.coalesce(F.col("__code") == src_iso, F.lit(False))
         )
     return _finding(
         rows.filter(untranslated), "accuracy.omission", "critical", F.lit(V.UNTRANSLATED_MESSAGE), 3
