@@ -156,7 +156,7 @@ def review_log(spark: SparkSession, d: str) -> DataFrame:
     """Reviewer actions per session (user), numbered in time order."""
     e = F.col("event_type")
     return table(spark, d, "events").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(e == "click", "edit").when(e == "view", "dismiss").when(e == "signup", "restore")
         .when(e == "error", "undo").otherwise("commit").alias("action"),
         F.get_json_object("props", "$.k").cast("int").alias("idx"),

@@ -60,9 +60,7 @@ def expire_idle(events: DataFrame, now: Column | None = None, gap_seconds: int =
         F.max("ts").alias("last_activity"), F.bool_or(F.col("event_type").isin(TERMINAL)).alias("ended")
     )
     if now is None:
-        # a one-row table; Spark sees that and joins it without a shuffle
-        per_job = per_job.join(events.agg(F.max("ts").alias("__now")))
-        now = F.col("__now")
+        now = events.agg(F.max("ts").alias("now")).scalar()
     old = F.col("last_activity") + F.make_dt_interval(secs=F.lit(gap_seconds)) < now
     return per_job.filter(F.col("ended") & old).select("job_id", "last_activity")
 

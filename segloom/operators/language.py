@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segloom.functions import text as T
 from segloom.functions import values as V
+from segloom.plans.cut import cut
 
 GRAM = 3
 
@@ -45,10 +46,10 @@ def detect_code(texts: DataFrame, profile: DataFrame, keys: list[str], text: str
     Grams are counted per text before they meet the profile, and the profile holds one row per
     gram with the scores of all languages, so the join moves small rows and emits one per gram.
     """
+    profile = cut(profile)  # small, and read by three branches
     sizes = profile.groupBy("lang").agg(F.sum("n").alias("total"))
-    vocabulary = profile.agg(F.count_distinct("gram").alias("v"))
-    # both tables are tiny (one row per language, one row): Spark decides from their size
-    base = sizes.join(vocabulary).select("lang", (F.col("total") + F.col("v")).alias("den"))
+    vocabulary = profile.agg(F.count_distinct("gram").alias("v")).scalar()
+    base = sizes.select("lang", (F.col("total") + vocabulary).alias("den"))
     weights = profile.join(base, "lang").select(
         "gram", F.struct("lang", (F.ln(F.col("n") + 1)).alias("gain")).alias("w")
     ).groupBy("gram").agg(F.collect_list("w").alias("ws"))

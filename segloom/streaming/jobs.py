@@ -27,24 +27,40 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class JobStateProcessor(StatefulProcessor):
-    """Keeps (state, ending event) per job; a cancel overwrites, other endings only count once."""
+    """Per job: its earliest complete or error, its latest cancel, and whether it started.
+
+    These are minima and maxima over event time, so the order of arrival does not matter and a
+    busy job is folded batch by batch. A cancel overwrites any other ending.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("job", "state string, ended_by long")
+        self._job = handle.getValueState(
+            "job", "end_at long, end_id long, end_kind string, cancel_at long, cancel_id long, started boolean"
+        )
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state, ended_by = self._state.get() if self._state.exists() else ("pending", None)
+        end, cancel, started = None, None, False
+        if self._job.exists():
+            end_at, end_id, end_kind, cancel_at, cancel_id, started = self._job.get()
+            end = None if end_at is None else (end_at, end_id, end_kind)
+            cancel = None if cancel_at is None else (cancel_at, cancel_id)
         for frame in rows:
-            for event in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-                kind, number = event.event_type, int(event.event_id)
-                if kind == "cancelled":
-                    state, ended_by = "cancelled", number
-                elif state in ("pending", "running"):
-                    if kind in ("complete", "error"):
-                        state, ended_by = ("completed" if kind == "complete" else "failed"), number
-                    elif kind == "started":
-                        state = "running"
-        self._state.update((state, ended_by))
+            frame = frame.assign(at=frame["ts"].astype("int64")).sort_values(["at", "event_id"])
+            ended = frame[frame["event_type"].isin(["complete", "error"])].head(1)
+            for e in ended.itertuples(index=False):
+                first = (int(e.at), int(e.event_id), e.event_type)
+                end = first if end is None else min(end, first)
+            for e in frame[frame["event_type"] == "cancelled"].tail(1).itertuples(index=False):
+                last = (int(e.at), int(e.event_id))
+                cancel = last if cancel is None else max(cancel, last)
+            started = started or bool((frame["event_type"] == "started").any())
+        self._job.update((*(end or (None, None, None)), *(cancel or (None, None)), started))
+        if cancel:
+            state, ended_by = "cancelled", cancel[1]
+        elif end:
+            state, ended_by = ("completed" if end[2] == "complete" else "failed"), end[1]
+        else:
+            state, ended_by = ("running" if started else "pending"), None
         yield pd.DataFrame({"job_id": [key[0]], "state": [state], "ended_by": pd.array([ended_by], dtype="Int64")})
 
     def close(self) -> None:
@@ -52,11 +68,7 @@ class JobStateProcessor(StatefulProcessor):
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
-    """Changes of job state as they happen (update mode); newest row per job is its state.
-
-    Events of one trigger are ordered inside the Arrow batches they arrive in; across triggers
-    arrival order counts, as it does for a job's own event queue.
-    """
+    """Changes of job state as they happen (update mode); newest row per job is its state."""
     return events.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=JobStateProcessor(), outputStructType=STATE_SCHEMA, outputMode="Update", timeMode="None"
     )
@@ -112,9 +124,12 @@ def incremental_sweep(new_bitext: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def quality_stream(actions: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Ledger rows of arriving reviewer actions, each action recorded once."""
-    rows = L.review_records(actions).withColumn("event_time", F.col("seq").cast("timestamp"))
-    return rows.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["id"]).drop("event_time")
+    """Ledger rows of arriving reviewer actions, each action (session and number) recorded once.
+
+    ``actions`` carry their event time in ``ts``.
+    """
+    once = actions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "seq"])
+    return L.review_records(once)
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
