@@ -30,8 +30,8 @@ HEADLINE = (
 
 
 def sweep_200(spark, sf_dir: str):
-    """The whole sweep with the 200 most frequent words as glossary terms."""
-    words = X.lexicon(spark, sf_dir).groupBy(F.lower("source").alias("source")).count()
+    """The whole sweep with a 200-term glossary: the most frequent words of eight or more letters."""
+    words = X.lexicon(spark, sf_dir).filter(F.col("source").rlike(r"^\p{L}{8,}$")).groupBy(F.lower("source").alias("source")).count()
     top = words.orderBy(F.col("count").desc(), "source").limit(200).select(
         "source", F.concat(F.lit("t-"), "source").alias("target"), F.crc32("source").alias("pos")
     )
