@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from segloom.plans.ship import ship
+
 
 def local_session(cores: int = 8, name: str = "segloom", memory: str = "12g") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own session."""
@@ -21,4 +23,5 @@ def local_session(cores: int = 8, name: str = "segloom", memory: str = "12g") ->
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
