@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import bitplanes, curriculum, histogram_sort
+from segloom.llm import bitplanes, curriculum, decontaminate, histogram_sort, jaccard_join, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,46 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query("op1_mcd_outliers")
+def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"
+    )
+
+
+DECONTAMINATE_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'b', item_id::VARCHAR, text FROM benchmark),
+w AS (
+  SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM t),
+bw AS (
+  SELECT id, least(10, len(words)) AS k, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i
+  FROM w WHERE side = 'b' AND len(words) > 0),
+win AS (SELECT DISTINCT id, k, array_to_string(words[i:i + k - 1], ' ') AS win FROM bw),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT id, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE side = 'd'),
+dwin AS (
+  SELECT dw.id, i, ks.k, array_to_string(words[i:i + ks.k - 1], ' ') AS win FROM dw, ks WHERE i + ks.k - 1 <= len(words)),
+hit AS (SELECT dwin.id, dwin.i, dwin.k, win.id AS item FROM dwin JOIN win ON dwin.k = win.k AND dwin.win = win.win),
+pos AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY id),
+its AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT id, item FROM hit) GROUP BY id)
+SELECT d.doc_id, coalesce(len(w.words), 0)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(its.n_items, 0)::BIGINT AS n_items, sha256(coalesce(its.names, '')) AS items_sha256,
+       coalesce(pos.n_hit, 0) > 0 AS contaminated
+FROM documents d JOIN w ON w.side = 'd' AND w.id = d.doc_id::VARCHAR
+LEFT JOIN pos ON pos.id = w.id LEFT JOIN its ON its.id = w.id"""
+
+
+@_query("op2_positional_index", DECONTAMINATE_SQL)
+def op2_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @_query("op3_histogram_sort")
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.histogram_sort(_table(spark, sf_dir, "documents"), 8).select(
@@ -41,6 +81,28 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS to_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.to_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(to_id) AS c FROM r GROUP BY doc_id) m USING (doc_id)"""
+
+
+@_query("op4_ngram_jaccard", JACCARD_SQL)
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segloom.plans.cut import cut
+from segloom.llm.tables import cut
 from segloom.plans.ordering import running
 
 PROBES = 1024
