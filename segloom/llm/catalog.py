@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import bitplanes, curriculum, decontaminate, histogram_sort, jaccard_join, quality
+from segloom.llm import bitplanes, ctw, curriculum, decontaminate, histogram_sort, jaccard_join, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,17 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_bitplane_files")
 def op7_bitplane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.token_table(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@_query("op9_context_tree")
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.lm_scores(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
+@_query("op10_repeat_intervals")
+def op10_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
