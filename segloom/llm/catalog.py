@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import bitplanes, ctw, curriculum, decontaminate, histogram_sort, jaccard_join, quality, repeats
+from segloom.llm import bitplanes, ctw, curriculum, decontaminate, histogram_sort, jaccard_join, quality, repeats, surrogates, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a key from a secret store.
+SURROGATE_KEY = "check-key"
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -103,6 +107,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@_query("op5_keyed_surrogates")
+def op5_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
@@ -139,6 +148,29 @@ def op7_bitplane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.token_table(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+WINNOW_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+t AS (
+  SELECT doc_id, i, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM t WHERE t <> ''),
+w AS (SELECT doc_id, k, t AS a, lead(t) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM n),
+f AS (SELECT a, b, min((doc_id, k)) AS at FROM w WHERE b IS NOT NULL GROUP BY a, b),
+h AS (SELECT w.doc_id, w.k FROM w JOIN f USING (a, b) WHERE (w.doc_id, w.k) > f.at),
+g AS (SELECT DISTINCT n.doc_id, n.i FROM n JOIN h ON n.doc_id = h.doc_id AND n.k IN (h.k, h.k + 1)),
+c AS (
+  SELECT l.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS kept
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(c.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN c USING (doc_id)"""
+
+
+@_query("op8_line_winnowing", WINNOW_SQL)
+def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @_query("op9_context_tree")
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.lm_scores(_table(spark, sf_dir, "documents")).select(
