@@ -30,8 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """Hash of a whole row. With the document number it names a row; equal rows share it."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    """Hash of a whole row. With the document number it names a row; equal rows share it. Maps hash as strings."""
+    return F.xxhash64(*[
+        F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema
+    ])
 
 
 def without(docs: DataFrame, gone: DataFrame, doc: str = "doc_id", how: str = "left_anti") -> DataFrame:
