@@ -14,7 +14,7 @@ from segloom.operators import repetition as R
 _CLEAN = "trim(replace(replace(original_text, chr(13), ' '), chr(10), ' '))"
 _UNIQ = f"""{_PLAN},
 u AS (SELECT *, row_number() OVER (PARTITION BY deck_id ORDER BY idx) - 1 AS r FROM plan WHERE canonical = idx),
-ub AS (SELECT *, CAST(r // 25 AS INT) AS batch_no, CAST(r % 25 AS INT) AS item FROM u)"""
+ub AS (SELECT *, CAST(r // 25 AS BIGINT) AS batch_no, CAST(r % 25 AS INT) AS item FROM u)"""
 
 
 def unique_batches(spark, d):
@@ -100,7 +100,7 @@ def _retry(spark, d):
 
 
 _STYLE = """
-sb AS (SELECT deck_id, idx, CAST(idx // 8 AS INT) AS batch_no, CAST(idx % 8 AS INT) AS item FROM segments),
+sb AS (SELECT deck_id, idx, CAST(idx // 8 AS BIGINT) AS batch_no, CAST(idx % 8 AS INT) AS item FROM segments),
 so AS (SELECT deck_id, batch_no, CASE WHEN idx % 29 = 3 THEN 0 ELSE item END AS item_id, concat('c', idx) AS dist FROM sb WHERE idx % 31 <> 5)"""
 
 
@@ -114,7 +114,7 @@ def _styled(spark, d):
     seg = X.segments(spark, d).select("deck_id", "idx")
     i = F.col("idx")
     out = seg.filter("idx % 31 <> 5").select(
-        "deck_id", F.floor(i / 8).cast("int").alias("batch_no"),
+        "deck_id", F.floor(i / 8).cast("long").alias("batch_no"),
         F.when(i % 29 == 3, F.lit(0)).otherwise((i % 8).cast("int")).alias("item_id"),
         F.concat(F.lit("c"), i.cast("string")).alias("dist"),
     )

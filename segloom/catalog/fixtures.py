@@ -159,14 +159,14 @@ def review_log(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(e == "click", "edit").when(e == "view", "dismiss").when(e == "signup", "restore")
         .when(e == "error", "undo").otherwise("commit").alias("action"),
-        F.get_json_object("props", "$.k").cast("int").alias("idx"),
+        F.get_json_object("props", "$.k").cast("long").alias("idx"),
         F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("new_target"),
     )
 
 
 def batches_of_40(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).select(
-        "deck_id", F.floor(F.col("idx") / 40).cast("int").alias("batch_no"),
+        "deck_id", F.floor(F.col("idx") / 40).cast("long").alias("batch_no"),
         (F.col("idx") % 40 + 1).cast("int").alias("item"), "idx", "original_text",
     )
 
@@ -196,7 +196,7 @@ FROM (SELECT *, unnest(range(1, len(string_split({text}, chr(10))) + 1)) AS i FR
 
 _SEGMENTS = """
 SELECT source AS deck_id,
-  CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS INT) AS idx,
+  CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS BIGINT) AS idx,
   doc_id AS slide_index,
   CAST(CASE WHEN doc_id % 5 = 4 THEN -1 ELSE 0 END AS INT) AS shape_index,
   CAST(pos AS INT) AS paragraph_index,
@@ -209,7 +209,7 @@ SELECT source AS deck_id,
 FROM ({lines}) WHERE length(trim(line)) > 0
 """
 
-_NORM = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+_NORM = "replace(translate(lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))), 'ςſ', 'σs'), 'ß', 'ss')"
 
 
 def norm_sql(c: str) -> str:
@@ -277,10 +277,10 @@ FROM events"""),
 SELECT user_id AS session_id, event_id AS seq,
   CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'dismiss' WHEN 'signup' THEN 'restore'
     WHEN 'error' THEN 'undo' ELSE 'commit' END AS action,
-  CAST(json_extract_string(props, '$.k') AS INT) AS idx, concat('t', event_id) AS new_target
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS idx, concat('t', event_id) AS new_target
 FROM events"""),
     "batched": (["segments"], """
-SELECT deck_id, CAST(idx // 40 AS INT) AS batch_no, CAST(idx % 40 + 1 AS INT) AS item, idx, original_text
+SELECT deck_id, CAST(idx // 40 AS BIGINT) AS batch_no, CAST(idx % 40 + 1 AS INT) AS item, idx, original_text
 FROM segments"""),
     "model_outputs": (["batched"], """
 SELECT deck_id, batch_no, CAST(1 AS INT) AS attempt,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segloom.catalog import fixtures as X
-from segloom.catalog.core import _PLAN, SWEEP_CTE, sweep
+from segloom.catalog.core import _PLAN, SWEEP_CTE, TERM_SQL, UNTRANSLATED_SQL, sweep
 from segloom.catalog.registry import query
 from segloom.catalog.styles import BUDGET_SQL, _STATUS, _status
 from segloom.catalog.terms import _merged
@@ -464,8 +464,8 @@ def _review_records(spark, d):
 
 
 @query("corpus_rollup", f"""
-WITH {SWEEP_CTE} SELECT deck_id, severity, type, count(*) AS findings, count(DISTINCT idx) AS segments, CAST(grouping_id(deck_id, severity, type) AS BIGINT) AS level
-FROM numbered GROUP BY ROLLUP (deck_id, severity, type)""", "normed glossary")
+WITH {SWEEP_CTE} SELECT deck_id, severity, type, count(*) AS findings, count(DISTINCT place) AS segments, CAST(grouping_id(deck_id, severity, type) AS BIGINT) AS level
+FROM (SELECT *, (deck_id, idx) AS place FROM numbered) GROUP BY ROLLUP (deck_id, severity, type)""", "normed glossary")
 def _rollup(spark, d):
     return L.corpus_rollup(sweep(spark, d))
 
@@ -556,12 +556,14 @@ def _idle_stream(spark, d):
     return out.select("job_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "ended")
 
 
-@query("incremental_sweep", None)
+@query("incremental_sweep", f"""
+SELECT deck_id, idx, type, suggested_fix, term_source FROM ({TERM_SQL} UNION ALL {UNTRANSLATED_SQL})""", "normed glossary")
 def _incremental(spark, d):
-    """New segments arrive as files and are checked against the glossary as they come."""
+    """New segments arrive as files and are checked as they come."""
     b = cut(X.bitext(spark, d))
     arriving = spark.readStream.schema(b.schema).parquet(b.inputFiles()[0].rsplit("/", 1)[0])
-    return Z.run_available(Z.incremental_sweep(arriving, _merged(spark))).select("deck_id", "idx", "suggested_fix", "term_source")
+    found = Z.sweep_available(arriving, X.glossary(spark), source_lang="영어", target_lang="한국어")
+    return found.select("deck_id", "idx", "type", "suggested_fix", "term_source")
 
 
 @query("quality_stream", """

@@ -24,7 +24,7 @@ b2 AS (SELECT *, CASE WHEN pc IS NULL OR pc <> container_id THEN 'container' WHE
    WHEN regexp_matches(pt, '{_END}') THEN 'sentence_end' END AS reason FROM b1),
 b3 AS (SELECT *, sum(CASE WHEN reason IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY deck_id ORDER BY idx) AS island FROM b2),
 b4 AS (SELECT *, row_number() OVER (PARTITION BY deck_id, island ORDER BY idx) - 1 AS place FROM b3),
-b5 AS (SELECT *, CAST(idx - place % 4 AS INT) AS block_id, CAST(place % 4 AS INT) AS block_pos FROM b4),
+b5 AS (SELECT *, CAST(idx - place % 4 AS BIGINT) AS block_id, CAST(place % 4 AS INT) AS block_pos FROM b4),
 blk AS (SELECT deck_id, block_id, min(slide_index) AS slide_index, min(container_id) AS container_id,
         min(container_kind) AS container_kind, min(slide_title) AS slide_title, count(*) AS size FROM b5 GROUP BY ALL),
 nx AS (SELECT *, lead(reason) OVER w AS nreason, lead(block_id) OVER w AS nblock FROM b5 WINDOW w AS (PARTITION BY deck_id ORDER BY idx)),

@@ -109,7 +109,7 @@ _AUDIT = _par_cte("runs", "sp") + "," + _par_cte("target_runs", "tp")
 
 
 @query("style_audit_join", f"""
-WITH {_AUDIT} SELECT s.deck_id, CAST(s.pno AS INT) AS para_no, s.idx AS src_idx, t.idx AS tgt_idx, s.text AS src_text, t.text AS tgt_text
+WITH {_AUDIT} SELECT s.deck_id, CAST(s.pno AS BIGINT) AS para_no, s.idx AS src_idx, t.idx AS tgt_idx, s.text AS src_text, t.text AS tgt_text
 FROM sp s JOIN tp t USING (deck_id, pno)""", "runs target_runs")
 def _audit_join(spark, d):
     tgt = X.styled_words(X.bitext(spark, d), "target")
@@ -125,9 +125,9 @@ k AS (SELECT *, CASE WHEN len(ss) = 0 AND len(ts) > 0 THEN 'target_added_highlig
   WHEN list_has_any(ss, ts) THEN 'position_like_highlight' END AS kind FROM j),
 c AS (SELECT coalesce(a.deck_id, b.deck_id) AS deck_id, coalesce(an, 0) AS an, coalesce(bn, 0) AS bn, coalesce(at1, '') AS at1, coalesce(bt, '') AS bt FROM
   (SELECT deck_id, count(*) AS an, arg_max(text, pno) AS at1 FROM sp GROUP BY 1) a FULL JOIN (SELECT deck_id, count(*) AS bn, arg_max(text, pno) AS bt FROM tp GROUP BY 1) b USING (deck_id))
-SELECT deck_id, CAST(pno AS INT) AS index, kind, CASE kind WHEN 'target_added_highlight' THEN 'medium' WHEN 'dropped_highlight' THEN 'low'
+SELECT deck_id, CAST(pno AS BIGINT) AS index, kind, CASE kind WHEN 'target_added_highlight' THEN 'medium' WHEN 'dropped_highlight' THEN 'low'
   ELSE CASE WHEN sl <> tl THEN 'high' ELSE 'medium' END END AS severity, st AS source_text, tt AS target_text FROM k WHERE kind IS NOT NULL
-UNION ALL SELECT deck_id, CAST(least(an, bn) AS INT), 'paragraph_count_mismatch', 'high', at1, bt FROM c WHERE an <> bn""", "runs target_runs")
+UNION ALL SELECT deck_id, CAST(least(an, bn) AS BIGINT), 'paragraph_count_mismatch', 'high', at1, bt FROM c WHERE an <> bn""", "runs target_runs")
 def _audit(spark, d):
     return S.style_audit(X.runs(spark, d), X.styled_words(X.bitext(spark, d), "target"))
 

@@ -164,8 +164,49 @@ def _enforce(spark, d):
     return M.enforce_glossary(X.bitext(spark, d), _merged(spark)).select("deck_id", "idx", "target")
 
 
+# every word of the documents as a glossary: tens of thousands of terms
+def _words_of(spark, d):
+    return X.lexicon(spark, d).filter(F.col("source").rlike(r"^[\p{L}\p{N}_]+$"))
+
+
+_FOLD = "replace(translate(lower({c}), 'ςſ', 'σs'), 'ß', 'ss')"
+
+
+def word_tokens_sql(view: str, column: str, name: str) -> str:
+    return f"""
+{name}0 AS (SELECT deck_id, idx, unnest(range(1, len(w) + 1)) AS i, w FROM
+  (SELECT deck_id, idx, regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]') AS w FROM {view})),
+{name} AS (SELECT deck_id, idx, i, w[i] AS tok, {_FOLD.format(c='w[i]')} AS k FROM {name}0)"""
+
+
+_LARGE = f"""
+dict AS (SELECT {_FOLD.format(c='source')} AS k, arg_max(target, pos) AS new FROM lexicon
+  WHERE regexp_full_match(source, '[\\p{{L}}\\p{{N}}_]+') GROUP BY ALL), {word_tokens_sql('segments', 'original_text', 'tk')}"""
+
+
+@query("glossary_match_large", f"""
+WITH {_LARGE} SELECT deck_id, idx, tok AS surface, new AS target, count(*) AS n FROM tk JOIN dict USING (k) GROUP BY ALL""", "segments lexicon")
+def _match_large(spark, d):
+    return M.glossary_match(X.segments(spark, d), _words_of(spark, d))
+
+
+@query("apply_glossary_large", f"""
+WITH {_LARGE} SELECT deck_id, idx, string_agg(coalesce(new, tok), '' ORDER BY i) AS prepared_text FROM tk LEFT JOIN dict USING (k) GROUP BY ALL""", "segments lexicon")
+def _apply_large(spark, d):
+    return M.apply_glossary(X.segments(spark, d), _words_of(spark, d)).select("deck_id", "idx", "prepared_text")
+
+
+@query("enforce_glossary_large", f"""
+WITH {_LARGE}, own AS (SELECT DISTINCT deck_id, idx, k FROM tk JOIN dict USING (k)), {word_tokens_sql('bitext', 'target', 'tt')},
+res AS (SELECT deck_id, idx, string_agg(CASE WHEN own.k IS NULL THEN tok ELSE coalesce(new, tok) END, '' ORDER BY i) AS t
+  FROM tt LEFT JOIN own USING (deck_id, idx, k) LEFT JOIN dict USING (k) GROUP BY ALL)
+SELECT deck_id, idx, coalesce(t, target) AS target FROM bitext LEFT JOIN res USING (deck_id, idx)""", "segments bitext lexicon")
+def _enforce_large(spark, d):
+    return M.enforce_glossary(X.bitext(spark, d), _words_of(spark, d)).select("deck_id", "idx", "target")
+
+
 @query("batch_glossary", f"""
-WITH {MATCH_CTE}, b AS (SELECT deck_id, CAST(idx // 40 AS INT) AS batch_no, idx FROM segments),
+WITH {MATCH_CTE}, b AS (SELECT deck_id, CAST(idx // 40 AS BIGINT) AS batch_no, idx FROM segments),
 f AS (SELECT deck_id, batch_no, surface, target, min(idx * 1000000 + i) AS place FROM mt JOIN b USING (deck_id, idx) GROUP BY ALL)
 SELECT deck_id, batch_no, coalesce(string_agg('- ' || surface || ' => ' || target, chr(10) ORDER BY place), 'None') AS terms
 FROM (SELECT DISTINCT deck_id, batch_no FROM b) LEFT JOIN f USING (deck_id, batch_no) GROUP BY ALL""", "segments")

@@ -1,7 +1,7 @@
 """Column functions for text: normalisation, limits, phrases, similarity, widths.
 
-Everything here is a built-in expression except ``term_key`` and ``wrap_to_weights``,
-which need Unicode NFKC/casefold and a sequential cut and run as Arrow batches.
+Everything here is a built-in expression except ``term_key``, which needs Unicode NFKC and runs as
+Arrow batches for terms beyond ASCII.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from segloom.functions import values as V
 
@@ -63,9 +63,17 @@ def collapse_ws(c) -> Column:
     return F.regexp_replace(_spaced(_col(c)), r"(?U)\s+", " ")
 
 
+def fold(c) -> Column:
+    """Casefold: lower case, with the letters whose folded form is not their lower case written out."""
+    out = F.translate(F.lower(_col(c)), "".join(V.FOLD_LETTERS), "".join(V.FOLD_LETTERS.values()))
+    for letter, written in V.FOLD_SEQUENCES.items():
+        out = F.replace(out, F.lit(letter), F.lit(written))
+    return out
+
+
 def norm_text(c) -> Column:
-    """Matching form: whitespace collapsed, stripped, lower case. Never shown to users."""
-    return F.lower(strip(collapse_ws(F.coalesce(_col(c), F.lit("")))))
+    """Matching form: whitespace collapsed, stripped, casefolded. Never shown to users."""
+    return fold(strip(collapse_ws(F.coalesce(_col(c), F.lit("")))))
 
 
 @F.pandas_udf(StringType())
@@ -318,34 +326,42 @@ def severity_rank(c) -> Column:
     return expr.otherwise(F.lit(V.NO_SEVERITY_RANK))
 
 
-def _wrap(text: str, weights: list[int]) -> list[str]:
-    """Give each line its weighted share, moving a cut to a nearby space."""
-    lines: list[str] = []
-    left, share = text.strip(), sum(weights)
-    for later in range(len(weights) - 1, 0, -1):
-        weight = weights[len(weights) - 1 - later]
-        room = len(left) - later
-        if room > 0:
-            want = max(1, min(room, round(len(left) * weight / share)))
-            near = [
-                at
-                for gap in range(max(4, want // 4) + 1)
-                for at in (want - gap, want + gap)
-                if 0 < at < len(left) and left[at].isspace()
-            ]
-            cut = max(1, min(room, near[0] if near else want))
-            lines.append(left[:cut].strip())
-            left = left[cut:].lstrip()
-        else:
-            lines.append("")
-        share -= weight
-    return [*lines, left]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def wrap_to_weights(text: pd.Series, weights: pd.Series) -> pd.Series:
-    """Split each text over ``len(weights)`` lines in proportion to the weights."""
-    return pd.Series([
-        None if t is None or w is None else _wrap(t, [int(v) for v in w])
-        for t, w in zip(text, weights)
-    ])
+def wrap_to_weights(text, weights) -> Column:
+    """Split a text over ``size(weights)`` lines in proportion to the weights, as one fold over them.
+
+    A line ends at the white space nearest to its share of what is left (the left one of two equally near), looked for
+    within a quarter of the share but four characters at least; without any, at the share itself. As long as
+    there are enough characters, each line to come keeps one.
+    """
+    n = F.size(_col(weights))
+    steps = F.transform(F.slice(_col(weights), 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.struct(w.cast("long").alias("w"), (n - 1 - i).alias("later")))
+    start = F.struct(
+        strip(text).alias("rest"), F.array().cast("array<string>").alias("lines"),
+        F.aggregate(_col(weights), F.lit(0).cast("long"), lambda total, w: total + w).alias("share"),
+    )
+
+    def line(state: Column, step: Column) -> Column:
+        rest, size = state["rest"], F.length(state["rest"])
+        room = size - step["later"]
+        share = F.bround(size * step["w"] / F.greatest(state["share"], F.lit(1))).cast("int")
+
+        def cut_at(want: Column) -> Column:
+            reach = F.greatest(F.lit(4), F.floor(want / 4).cast("int"))
+            low, high = F.greatest(F.lit(1), want - reach), F.least(size - 1, want + reach)
+            places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            spaces = F.filter(places, lambda at: F.instr(F.lit(V.WHITESPACE), F.substr(rest, at + 1, F.lit(1))) > 0)
+            best = F.array_min(F.transform(spaces, lambda at: F.struct(F.abs(at - want).alias("far"), at.alias("at"))))
+            end = F.greatest(F.lit(1), F.least(room, F.coalesce(best["at"], want)))
+            return F.struct(
+                lstrip(F.substr(rest, end + 1, size)).alias("rest"),
+                F.concat(state["lines"], F.array(strip(F.substr(rest, F.lit(1), end)))).alias("lines"),
+                (state["share"] - step["w"]).alias("share"),
+            )
+
+        empty = F.struct(
+            rest.alias("rest"), F.concat(state["lines"], F.array(F.lit(""))).alias("lines"), (state["share"] - step["w"]).alias("share")
+        )
+        return F.when(room > 0, let(F.greatest(F.lit(1), F.least(room, share)), cut_at)).otherwise(empty)
+
+    done = F.aggregate(steps, start, line, lambda s: F.concat(s["lines"], F.array(s["rest"])))
+    return F.when(_col(text).isNotNull() & _col(weights).isNotNull(), done)

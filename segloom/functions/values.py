@@ -100,3 +100,7 @@ STYLE_MESSAGE = (
 )
 REJECTED_MESSAGE = "검토 화면에서 검출 무시(반려)"
 ACCEPTED_MESSAGE = "검토 화면에서 수정 (전파 %1$d건)"
+
+# Fixed values of Unicode casefolding beyond lower case, for scripts with case in common use.
+FOLD_LETTERS = {"ς": "σ", "ſ": "s", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε"}
+FOLD_SEQUENCES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}

@@ -24,7 +24,7 @@ def assign_batches(segments: DataFrame, size: int | Column) -> DataFrame:
     ranked = position(segments, ["deck_id"], "idx", "__rank")
     size = F.lit(size) if isinstance(size, int) else size
     return ranked.withColumns({
-        "batch_no": F.floor(F.col("__rank") / size).cast("int"),
+        "batch_no": F.floor(F.col("__rank") / size).cast("long"),
         "item": (F.col("__rank") % size).cast("int"),
     }).drop("__rank")
 
@@ -33,32 +33,31 @@ def batch_size(
     counts: DataFrame, n: str = "n", *, batch: int = 80, min_batch: int = 40, max_batch: int = 100,
     target_batches: int = 5, concurrency: int = 8, wave: float = 1.2,
 ) -> DataFrame:
-    """Batch size per deck that keeps ``concurrency`` lanes busy without tiny tails."""
-    low = max(1, min_batch)
-    high = max(low, max_batch)
-    usual = max(low, min(high, batch))
+    """Batch size per deck that keeps ``concurrency`` lanes busy without tiny tails.
+
+    The wanted number of batches is two waves over all lanes, or more if asked for. Sizes stay within the bounds; a
+    size below the usual one grows towards it while every lane still gets a batch (unless more batches were asked
+    for); a last batch under half the lower bound is spread over the others.
+    """
+    least = max(1, min_batch)
+    most = max(least, max_batch)
+    usual = sorted((least, batch, most))[1]
     lanes = max(1, concurrency)
-    baseline = max(lanes, math.ceil(lanes * max(1.0, wave) * 2))
-    wanted = max(1, target_batches)
-    target = max(wanted, baseline)
+    waves = max(lanes, math.ceil(2 * lanes * max(1.0, wave)))
     total = F.col(n).cast("long")
 
-    def ceil_div(a: Column, b: Column | int) -> Column:
-        return F.ceil(a / (F.lit(b) if isinstance(b, int) else b))
-
-    def clamp(c: Column) -> Column:
-        return F.greatest(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), c))
+    def bounded(c: Column) -> Column:
+        return F.greatest(F.lit(least), F.least(F.lit(most), c)).cast("long")
 
-    size = clamp(ceil_div(total, target))
-    if wanted <= baseline:
-        raised = F.least(F.lit(usual).cast("long"), F.greatest(F.lit(1).cast("long"), ceil_div(total, lanes)))
-        size = F.when(size < usual, F.greatest(size, raised)).otherwise(size)
-    sized = counts.withColumn("__size", size).withColumn("__batches", F.greatest(F.lit(1), ceil_div(total, F.col("__size"))))
-    rest = total - (F.col("__batches") - 1) * F.col("__size")
-    tiny = (F.col("__batches") > 1) & (rest > 0) & (rest < max(1, int(low * 0.5)))
-    spread = F.when(tiny, clamp(ceil_div(total, F.col("__batches") - 1))).otherwise(F.col("__size"))
-    final = F.when(total <= 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(total, spread)))
-    return sized.withColumn("batch_size", final.cast("int")).drop("__size", "__batches")
+    by_target = bounded(F.ceil(total / max(waves, target_batches)))
+    growth = F.least(F.lit(usual), F.ceil(total / lanes)) if target_batches <= waves else F.lit(0)
+    size = F.when(by_target < usual, F.greatest(by_target, growth)).otherwise(by_target)
+    sized = counts.withColumn("__size", size)
+    parts = F.ceil(total / F.col("__size"))
+    tail = total - (parts - 1) * F.col("__size")
+    short = (parts > 1) & tail.between(1, max(1, least // 2) - 1)
+    final = F.when(short, bounded(F.ceil(total / (parts - 1)))).otherwise(F.col("__size"))
+    return sized.withColumn("batch_size", F.greatest(F.lit(1), F.least(total, final)).cast("int")).drop("__size")
 
 
 def safe_concurrency(batches: DataFrame, tokens: str = "tokens", max_concurrency: int = 8, tpm: int = 30000) -> DataFrame:
@@ -202,7 +201,7 @@ def translate_batches(batched: DataFrame, fn: Callable[[list[str]], list[str]],
                 })
 
     return packed.mapInPandas(
-        call, "deck_id string, batch_no int, attempt int, item_index int, seq int, text string"
+        call, "deck_id string, batch_no bigint, attempt int, item_index int, seq int, text string"
     )
 
 

@@ -37,7 +37,7 @@ def merge_blocks(segments: DataFrame, cap: int = V.MAX_BLOCK_SIZE) -> DataFrame:
     full = F.col("__place").isNotNull() & (F.col("__place") > 0) & (F.col("__place") % cap == 0)
     return placed.select(
         *segments.columns,
-        block.cast("int").alias("block_id"),
+        block.cast("long").alias("block_id"),
         (F.col("__place") % cap).cast("int").alias("block_pos"),
         F.when(full, "cap").otherwise(F.col("__reason")).alias("refusal"),
         (F.col("__place") % cap == cap - 1).alias("__full"),

@@ -96,9 +96,16 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def corpus_rollup(findings: DataFrame) -> DataFrame:
-    """Findings per deck, severity and type with subtotals at each level (nulls mark totals)."""
-    return findings.rollup("deck_id", "severity", "type").agg(
-        F.count(F.lit(1)).alias("findings"), F.count_distinct("idx").alias("segments"), F.grouping_id().alias("level")
+    """Findings per deck, severity and type with subtotals at each level (nulls mark totals).
+
+    ``segments`` counts places: equal positions of different decks are different segments. Findings shrink to
+    one row per place and kind before the levels multiply them.
+    """
+    places = findings.groupBy("deck_id", "severity", "type", "idx").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__place", F.struct("deck_id", "idx")
+    )
+    return places.rollup("deck_id", "severity", "type").agg(
+        F.sum("__n").alias("findings"), F.count_distinct("__place").alias("segments"), F.grouping_id().alias("level")
     )
 
 

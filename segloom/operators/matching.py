@@ -2,208 +2,113 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segloom.functions import values as V
-from segloom.operators.glossary import glossary_constant
-from segloom.plans.skew import attach
+from segloom.functions import text as T
 
-_WORD = r"[\p{L}\p{N}_]"
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 
 
-def _is_word(ch: str) -> bool:
-    return ch.isalnum() or ch == "_"
-
-
-def _escape(term: str) -> str:
-    return re.sub(r"([\\.\[\]{}()*+?^$|&\-#~ ])", r"\\\1", term)
-
-
-def term_pattern(terms: list[str]) -> str:
-    """One alternation, longest term first; an edge is guarded only if it is a word character."""
-    parts = [
-        (f"(?<!{_WORD})" if _is_word(t[0]) else "") + _escape(t) + (f"(?!{_WORD})" if _is_word(t[-1]) else "")
-        for t in sorted((t for t in terms if t), key=len, reverse=True)
-    ]
-    return "(?iu)" + "|".join(parts)
+def _tokens(text) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def _lookup_map(terms: list[dict]) -> Column:
-    """lower(source) -> target as a constant map; a later entry replaces an earlier one."""
-    table = {t["source"].lower(): t["target"] for t in terms}
-    return F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
+def _folded(tokens: Column) -> Column:
+    return F.transform(tokens, T.fold)
 
 
-def _replace_all(text: Column, pattern: Column | str, replacement) -> Column:
-    """Replace every match in one pass; ``replacement`` maps the matched text to its new text."""
-    pat = F.lit(pattern) if isinstance(pattern, str) else pattern
-    matches = F.regexp_extract_all(text, pat, F.lit(0))
-    gaps = F.split(text, pat, -1)
-    woven = F.zip_with(
-        gaps, F.transform(matches, replacement), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))
+def term_table(glossary: DataFrame) -> DataFrame:
+    """One row per term: ``key`` (casefolded text), ``head`` (its first token), ``k`` tokens, ``target`` of its last entry."""
+    terms = glossary.withColumn("__f", _folded(_tokens(F.col("source")))).filter(F.size("__f") > 0)
+    return terms.groupBy(F.array_join("__f", "").alias("key")).agg(
+        F.first(F.get("__f", F.lit(0))).alias("head"), F.first(F.size("__f")).alias("k"), F.max_by("target", "pos").alias("target")
     )
-    return F.array_join(woven, "")
 
 
-def _matches(segments: DataFrame, terms: list[dict]) -> DataFrame:
-    found = F.regexp_extract_all("original_text", F.lit(term_pattern([t["source"] for t in terms])), F.lit(0))
-    return segments.withColumn("__found", found)
+def _candidates(segments: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
+    """Every place of every term, overlaps included: ``deck_id, idx, start, stop, surface, key, target``.
 
+    Tokens are words or single other characters, so equal token runs are exactly the matches that
+    respect word boundaries. Only positions whose token begins some term are followed up, and only for the lengths
+    of the terms it begins. Spark broadcasts the term tables while they are small and shuffles
+    narrow rows otherwise; the rows are the same.
+    """
+    terms = term_table(glossary)
+    heads = terms.groupBy("head").agg(F.collect_set("k").alias("ks"))
+    cut_up = segments.select("deck_id", "idx", _tokens(F.col(text)).alias("__t")).withColumn("__f", _folded(F.col("__t")))
+    starts = cut_up.select("deck_id", "idx", "__t", "__f", F.posexplode("__f").alias("start", "head")).join(heads, "head")
+    runs = starts.select("deck_id", "idx", "start", "__t", "__f", F.explode("ks").alias("k")).filter(F.col("start") + F.col("k") <= F.size("__f"))
+    part = lambda c: F.array_join(F.slice(c, F.col("start") + 1, F.col("k")), "")
+    keyed = runs.select(
+        "deck_id", "idx", "start", (F.col("start") + F.col("k")).alias("stop"), part("__t").alias("surface"), part("__f").alias("key")
+    )
+    return keyed.join(terms.select("key", "target"), "key")
 
-def match_positions(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Every match in reading order: ``deck_id, idx, mpos, surface, target``."""
-    terms = glossary_constant(glossary)
-    if terms is None:
-        return match_positions_ngram(segments, glossary)
-    if not terms:
-        return segments.select(
-            "deck_id", "idx", F.lit(0).alias("mpos"), F.lit("").alias("surface"), F.lit("").alias("target")
-        ).limit(0)
-    return _matches(segments, terms).select(
-        "deck_id", "idx", F.posexplode("__found").alias("mpos", "surface")
-    ).withColumn("target", F.element_at(_lookup_map(terms), F.lower("surface")))
 
+_MATCH = ("start", "stop", "surface", "key", "target")
 
-def _per_surface(positions: DataFrame) -> DataFrame:
-    return positions.groupBy("deck_id", "idx", "surface", "target").agg(F.count(F.lit(1)).alias("n"))
 
+def _settled(candidates: DataFrame) -> DataFrame:
+    """Matches of each segment without overlaps, leftmost then longest: ``deck_id, idx, m`` (array in reading order)."""
+    listed = candidates.groupBy("deck_id", "idx").agg(F.array_sort(F.collect_list(
+        F.struct("start", (-F.length("surface")).alias("neg"), *_MATCH[1:])
+    )).alias("c"))
+    kept = F.aggregate(
+        "c", F.struct(F.lit(0).alias("free"), F.slice("c", 1, F.lit(0)).alias("m")),
+        lambda s, x: F.when(
+            x["start"] >= s["free"], F.struct(x["stop"].alias("free"), F.concat(s["m"], F.array(x)).alias("m"))
+        ).otherwise(s),
+    )["m"]
+    return listed.select("deck_id", "idx", kept.alias("m"))
 
-def glossary_match(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Terms per segment as written there: ``deck_id, idx, surface, target, n``.
 
-    Within the entry limit the terms form one constant pattern and counting happens inside the
-    row. Larger glossaries go through the token n-gram join.
-    """
-    terms = glossary_constant(glossary)
-    if terms is None:
-        return glossary_match_ngram(segments, glossary)
-    if not terms:
-        return _per_surface(match_positions(segments, glossary))
-    found = F.col("__found")
-    counted = F.transform(
-        F.array_distinct(found),
-        lambda s: F.struct(s.alias("surface"), F.size(F.filter(found, lambda m: m == s)).cast("long").alias("n")),
-    )
-    return _matches(segments, terms).select("deck_id", "idx", F.explode(counted).alias("m")).select(
-        "deck_id", "idx", "m.surface",
-        F.element_at(_lookup_map(terms), F.lower("m.surface")).alias("target"), "m.n",
+def match_positions(segments: DataFrame, glossary: DataFrame, text: str = "original_text") -> DataFrame:
+    """Every match in reading order: ``deck_id, idx, mpos, surface, target``; one path for any glossary."""
+    return _settled(_candidates(segments, glossary, text)).select("deck_id", "idx", F.posexplode("m").alias("mpos", "x")).select(
+        "deck_id", "idx", "mpos", "x.surface", "x.target"
     )
 
 
-def match_positions_ngram(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Matches by equi-join of token n-grams, for glossaries of any size.
-
-    Tokens are words or single other characters, so equal token runs are exactly the
-    boundary-respecting matches. Keys present in both sides are found on aggregated n-grams; the
-    n-gram rows then join those keys with frequent ones salted. Overlaps inside a segment are
-    settled leftmost, then longest.
-    """
-    terms = glossary.groupBy(F.lower("source").alias("key")).agg(F.max_by("target", "pos").alias("target")).withColumn(
-        "k", F.size(F.regexp_extract_all("key", F.lit(_TOKEN), F.lit(0)))
-    )
-    sizes = sorted(r["k"] for r in terms.select("k").distinct().filter(f"k <= {V.MAX_TERM_CHARS}").collect())
-    tokens = F.col("__tokens")
-
-    def grams_of(k: int) -> Column:
-        starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(
-            starts,
-            lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), F.array_join(F.slice(tokens, i, F.lit(k)), "").alias("surface")),
-        )
-
-    empty = F.array().cast("array<struct<start:int,k:int,surface:string>>")
-    grams = segments.withColumn("__tokens", F.regexp_extract_all("original_text", F.lit(_TOKEN), F.lit(0))).select(
-        "deck_id", "idx", F.explode(F.concat(empty, *[grams_of(k) for k in sizes])).alias("g")
-    ).select("deck_id", "idx", "g.*", F.lower("g.surface").alias("key"))
-    used = grams.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).join(terms.select("key", "target"), "key")
-    hits = attach(grams, used, ["key"], "__n", spread=["deck_id", "idx"])
-    candidate = F.struct(
-        "start", (-F.length("surface")).alias("neg"), (F.col("start") + F.col("k")).alias("stop"), "surface", "target"
-    )
-    per_segment = hits.groupBy("deck_id", "idx").agg(F.array_sort(F.collect_list(candidate)).alias("c"))
-    kept = F.aggregate(
-        "c",
-        F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<surface:string,target:string>>").alias("m")),
-        lambda acc, x: F.when(
-            x["start"] >= acc["free"],
-            F.struct(
-                x["stop"].alias("free"),
-                F.concat(acc["m"], F.array(F.struct(x["surface"].alias("surface"), x["target"].alias("target")))).alias("m"),
-            ),
-        ).otherwise(acc),
-    )
-    return per_segment.select("deck_id", "idx", F.posexplode(kept["m"]).alias("mpos", "x")).select(
-        "deck_id", "idx", "mpos", "x.surface", "x.target"
-    )
+def glossary_match(segments: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Terms per segment as written there: ``deck_id, idx, surface, target, n``."""
+    return match_positions(segments, glossary).groupBy("deck_id", "idx", "surface", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def glossary_match_ngram(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    return _per_surface(match_positions_ngram(segments, glossary))
+    """``glossary_match`` under the name of its method."""
+    return glossary_match(segments, glossary)
+
+
+def _substituted(rows: DataFrame, text: str, matches: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the matched token runs of ``text`` replaced by their targets, in ``out``."""
+    tokens = _tokens(F.col(text))
+    part = lambda t, first, stop: F.array_join(F.slice(t, first + 1, stop - first), "")
+    woven = T.let(F.struct(tokens.alias("t"), F.col("__m").alias("m")), lambda v: F.aggregate(
+        v["m"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.struct(
+            x["stop"].alias("at"),
+            F.concat(s["out"], part(v["t"], s["at"], x["start"]), F.coalesce(x["target"], x["surface"])).alias("out"),
+        ),
+        lambda s: F.concat(s["out"], part(v["t"], s["at"], F.size(v["t"]))),
+    ))
+    joined = rows.join(matches.withColumnRenamed("m", "__m"), ["deck_id", "idx"], "left")
+    return joined.withColumn(out, F.when(F.col("__m").isNull(), F.col(text)).otherwise(woven)).drop("__m")
 
 
 def apply_glossary(segments: DataFrame, glossary: DataFrame, text: str = "original_text") -> DataFrame:
     """Replace every matched term by its target, literally and in one pass."""
-    terms = glossary_constant(glossary)
-    if terms is None:
-        raise ValueError(f"substitution takes at most {V.MAX_GLOSSARY_ENTRIES} terms")
-    if not terms:
-        return segments.withColumn("prepared_text", F.col(text))
-    lookup = _lookup_map(terms)
-    return segments.withColumn(
-        "prepared_text",
-        _replace_all(
-            F.col(text), term_pattern([t["source"] for t in terms]),
-            lambda m: F.coalesce(F.element_at(lookup, F.lower(m)), m),
-        ),
-    )
-
-
-def _row_pattern(surfaces: Column) -> Column:
-    """Pattern over the surfaces found in one row (each starts and ends as it did in the source)."""
-    longest_first = F.transform(
-        F.array_sort(F.transform(surfaces, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))),
-        lambda x: x["s"],
-    )
-    guarded = F.transform(
-        longest_first,
-        lambda s: F.concat(
-            F.when(s.rlike(f"^{_WORD}"), F.lit(f"(?<!{_WORD})")).otherwise(F.lit("")),
-            F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"),
-            F.when(s.rlike(f"{_WORD}$"), F.lit(f"(?!{_WORD})")).otherwise(F.lit("")),
-        ),
-    )
-    return F.concat(F.lit("(?iu)"), F.array_join(guarded, "|"))
+    return _substituted(segments, text, _settled(_candidates(segments, glossary, text)), "prepared_text")
 
 
 def enforce_glossary(bitext: DataFrame, glossary: DataFrame) -> DataFrame:
     """Apply to each target only the terms its own source contains.
 
-    Opposite-direction entries then cannot undo one another. Rows without a match keep their
-    target and never compile a pattern.
+    Opposite-direction entries then cannot undo one another. Rows without a match keep their target.
     """
-    terms = glossary_constant(glossary)
-    if terms is None:
-        raise ValueError(f"enforcement takes at most {V.MAX_GLOSSARY_ENTRIES} terms")
-    if not terms:
-        return bitext
-    lookup = _lookup_map(terms)
-    surfaces = F.array_distinct("__found")
-    pattern = F.when(F.size("__found") > 0, _row_pattern(surfaces))
-    enforced = _replace_all(
-        F.col("target"), F.col("__pattern"), lambda m: F.coalesce(F.element_at(lookup, F.lower(m)), m)
-    )
-    return (
-        _matches(bitext, terms)
-        .withColumn("__pattern", pattern)
-        .withColumn("target", F.when(F.col("__pattern").isNull(), F.col("target")).otherwise(enforced))
-        .select(*bitext.columns)
-    )
+    own = _settled(_candidates(bitext, glossary, "original_text")).select("deck_id", "idx", F.explode("m.key").alias("key")).distinct()
+    there = _candidates(bitext, glossary, "target").join(own, ["deck_id", "idx", "key"], "left_semi")
+    return _substituted(bitext, "target", _settled(there), "target").select(*bitext.columns)
 
 
 def batch_glossary(batched: DataFrame, glossary: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def segments_from_documents(
     shape = F.when(F.col("is_note"), F.lit(-1)).otherwise(F.lit(0))
     return exploded.select(
         "deck_id",
-        (F.col("__before") + F.col("__place")).cast("int").alias("idx"),
+        (F.col("__before") + F.col("__place")).cast("long").alias("idx"),
         "slide_index",
         shape.cast("int").alias("shape_index"),
         F.col("__line.paragraph_index").cast("int").alias("paragraph_index"),

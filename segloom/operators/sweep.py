@@ -6,27 +6,15 @@ reported them; ``assign_ordinals`` turns those into the per-deck ordinal.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from segloom.functions import text as T
 from segloom.functions import values as V
-from segloom.plans.bounded import bounded_rows
 from segloom.plans.cut import cut
 from segloom.plans.ordering import position2
 from segloom.plans.skew import attach
 
-try:
-    import ahocorasick
-except ImportError:  # the built-in scan below gives the same findings
-    ahocorasick = None
-
-MANY_TERMS = 32
-
 FINDING_COLUMNS = [
     "deck_id", "idx", "type", "severity", "description", "location", "segment",
     "suggested_fix", "term_source", "related_location", "check_rank", "k1", "k2", "k3",
@@ -87,14 +75,6 @@ def _spoken(bitext: DataFrame) -> DataFrame:
     return _normed(bitext.filter(~T.is_blank("original_text") & ~T.is_blank("target")))
 
 
-def _term_array(rows: list[dict]) -> Column:
-    """A driver-side term list as one constant array (folded by the optimiser)."""
-    return F.from_json(
-        F.lit(json.dumps(rows, ensure_ascii=False)),
-        "array<struct<pos:bigint,source:string,target:string,n:string,tn:string>>",
-    )
-
-
 def _prepared_terms(glossary: DataFrame) -> DataFrame:
     """Terms with matching forms; entries equal in spelling keep the last target at the first place."""
     terms = glossary.groupBy("source").agg(
@@ -105,113 +85,56 @@ def _prepared_terms(glossary: DataFrame) -> DataFrame:
     ).filter("n <> ''")
 
 
-def term_violation_join(
-    bitext: DataFrame, glossary: DataFrame, *, max_terms: int = V.MAX_GLOSSARY_ENTRIES
-) -> DataFrame:
-    """Source holds a term (plain substring) but the target lacks its translation.
-
-    A glossary within the supported entry limit travels as a constant and each segment is scanned
-    once, in place (with an automaton when there are many terms). A larger one is matched through shared character grams: a term can only occur
-    in a segment that has the term's first ``GRAM`` characters, so an equi-join on those finds
-    every candidate and ``contains`` decides; terms shorter than that stay on the constant path.
-    """
-    rows = _spoken(bitext)
-    terms = _prepared_terms(glossary)
-    small = bounded_rows(terms, max_terms)
-    if small is not None:
-        hits = _constant_violations(rows, [r.asDict() for r in small])
-    else:
-        hits = _gram_violations(rows, terms, max_terms)
-    return hits
-
-
-def _term_scanner(terms: list[str]):
-    """Positions of the terms that occur in each text, found in one pass whatever their number."""
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def scan(texts: pd.Series) -> pd.Series:
-        automaton = ahocorasick.Automaton()
-        for i, term in enumerate(terms):
-            automaton.add_word(term, (*automaton.get(term, ()), i))
-        automaton.make_automaton()
-        return texts.map(lambda text: sorted({i for _, found in automaton.iter(text) for i in found}))
-
-    return scan
+def _grams(c: Column, sizes: list[int]) -> Column:
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[T.char_grams(c, n) for n in sizes]))
 
 
-def _constant_violations(rows: DataFrame, terms: list[dict]) -> DataFrame:
-    if not terms:
-        hits = rows.limit(0).withColumn("__t", F.lit(None).cast("struct<pos:bigint,source:string,target:string>"))
-    elif len(terms) > MANY_TERMS and ahocorasick is not None:
-        wrong = T.let(
-            F.struct("tgt_n", _term_scanner([t["n"] for t in terms])("src_n").alias("hits"), _term_array(terms).alias("terms")),
-            lambda v: F.filter(
-                F.transform(v["hits"], lambda i: F.get(v["terms"], i)), lambda t: ~F.contains(v["tgt_n"], t["tn"])
-            ),
-        )
-        hits = rows.withColumn("__t", F.explode(wrong))
-    else:
-        wrong = T.let(
-            F.struct("src_n", "tgt_n"),
-            lambda v: F.filter(
-                _term_array(terms), lambda t: F.contains(v["src_n"], t["n"]) & ~F.contains(v["tgt_n"], t["tn"])
-            ),
-        )
-        hits = rows.withColumn("__t", F.explode(wrong))
-    return _violation(hits.withColumn("__pos", F.col("__t.pos")))
-
-
-def _gram_violations(rows: DataFrame, terms: DataFrame, max_terms: int) -> DataFrame:
-    long_terms = terms.filter(F.length("n") >= GRAM).withColumn("__gram", F.substring("n", 1, GRAM))
-    short = bounded_rows(terms.filter(F.length("n") < GRAM), max_terms)
-    if short is None:
-        raise ValueError(f"more than {max_terms} glossary terms are shorter than {GRAM} characters")
-    grams = F.array_distinct(T.char_grams(F.col("src_n"), GRAM))
-    candidates = rows.withColumn("__gram", F.explode(grams)).join(
-        long_terms.select("__gram", F.struct("pos", "source", "target", "n", "tn").alias("__t")), "__gram"
-    )
-    found = candidates.filter(
-        F.contains(F.col("src_n"), F.col("__t.n")) & ~F.contains(F.col("tgt_n"), F.col("__t.tn"))
-    ).drop("__gram")
-    big = _violation(found.withColumn("__pos", F.col("__t.pos")))
-    return big.unionByName(_constant_violations(rows, [r.asDict() for r in short])) if short else big
-
+def _holders(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """``rows`` joined with every term (``n``, any further columns) whose ``n`` is a substring of ``text``.
 
-def _violation(hits: DataFrame) -> DataFrame:
+    A term can only occur where all its character grams do, so each term is looked up by the one that fewest rows
+    have. Only (deck_id, idx, gram) rows meet the grams; texts come back for the few candidates. Spark broadcasts
+    the term tables while they are small; any number and length of terms takes the same path.
+    """
+    terms = terms.withColumn("__term", F.xxhash64(*[c for c in terms.columns]))
+    sizes = sorted(r[0] for r in terms.select(F.least(F.length("n"), F.lit(GRAM)).alias("s")).distinct().collect())
+    own = terms.select("__term", "n", F.explode(F.array_distinct(F.coalesce(*[
+        F.when(F.least(F.length("n"), F.lit(GRAM)) == k, T.char_grams(F.col("n"), k)) for k in sizes
+    ], F.array().cast("array<string>")))).alias("gram"))
+    held = rows.select("deck_id", "idx", F.explode(_grams(F.col(text), sizes)).alias("gram"))
+    asked = own.select("gram").distinct()
+    heat = held.join(asked, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    rarest = own.join(heat, "gram", "left").groupBy("__term").agg(
+        F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g")
+    ).filter("g.c > 0").select("__term", F.col("g.gram").alias("gram"))
+    keyed = cut(terms.join(rarest, "__term"))
+    near = held.join(keyed.select("gram", F.struct(*terms.columns).alias("__t")), "gram").select("deck_id", "idx", "__t")
+    return near.join(rows, ["deck_id", "idx"]).filter(F.contains(F.col(text), F.col("__t.n")))
+
+
+def term_violation_join(bitext: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Source holds a term (plain substring) but the target lacks its translation."""
+    found = _holders(_spoken(bitext), "src_n", _prepared_terms(glossary)).filter(~F.contains(F.col("tgt_n"), F.col("__t.tn")))
     return _finding(
-        hits, "terminology.violation", "major",
+        found.withColumn("__pos", F.col("__t.pos")), "terminology.violation", "major",
         F.format_string(V.TERM_MESSAGE, F.col("__t.source"), F.col("__t.target")), 1,
         fix=F.col("__t.target"), term=F.col("__t.source"), k3="__pos",
     )
 
 
-def locked_term_join(bitext: DataFrame, locked: DataFrame, *, max_terms: int = V.MAX_GLOSSARY_ENTRIES) -> DataFrame:
+def locked_term_join(bitext: DataFrame, locked: DataFrame) -> DataFrame:
     """Target has a locked term in another case or spacing but not its exact spelling.
 
     ``locked`` has ``rule_id, term, pos``.
     """
-    rows = _spoken(bitext)
     terms = locked.select(
         F.col("pos").cast("long").alias("pos"), F.col("rule_id").cast("string").alias("source"),
-        F.col("term").alias("target"), T.norm_text("term").alias("n"), F.lit("").alias("tn"),
+        F.col("term").alias("target"), T.norm_text("term").alias("n"),
     ).filter("n <> ''")
-    small = bounded_rows(terms, max_terms)
-    if small is None:
-        raise ValueError(f"more than {max_terms} locked terms")
-    if not small:
-        hits = rows.limit(0).withColumn("__t", F.lit(None).cast("struct<pos:bigint,source:string,target:string>"))
-    else:
-        near = T.let(
-            F.struct("tgt_n", "target"),
-            lambda v: F.filter(
-                _term_array([r.asDict() for r in small]),
-                lambda t: F.contains(v["tgt_n"], t["n"]) & ~F.contains(v["target"], t["target"]),
-            ),
-        )
-        hits = rows.withColumn("__t", F.explode(near))
+    near = _holders(_spoken(bitext), "tgt_n", terms).filter(~F.contains(F.col("target"), F.col("__t.target")))
     # locked terms of a segment come after all its glossary terms
     return _finding(
-        hits.withColumn("__pos", F.col("__t.pos") + F.lit(1 << 40)), "terminology.violation", "major",
+        near.withColumn("__pos", F.col("__t.pos") + F.lit(1 << 40)), "terminology.violation", "major",
         F.format_string(V.LOCKED_MESSAGE, F.col("__t.source"), F.col("__t.target")), 1,
         fix=F.col("__t.target"), k3="__pos",
     )

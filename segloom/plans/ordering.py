@@ -80,7 +80,7 @@ def running(
 def position(df: DataFrame, group: list[str], key: str, out: str, *, tie=None, start: int = 0) -> DataFrame:
     """Dense 0-based (or ``start``-based) position along ``key`` inside ``group``."""
     ranked = running(df, group, key, {out: ("sum", F.lit(1).cast("long"))}, tie=tie)
-    return ranked.withColumn(out, (F.col(out) + (start - 1)).cast("int"))
+    return ranked.withColumn(out, (F.col(out) + (start - 1)).cast("long"))
 
 
 def position2(
@@ -94,7 +94,7 @@ def position2(
         attach(
             inner, before.select(*group, major, "__before", "__n"), [*group, major], "__n", spread=[minor]
         )
-        .withColumn(out, (F.col("__before") + F.col("__inner") + (start - 1)).cast("int"))
+        .withColumn(out, (F.col("__before") + F.col("__inner") + (start - 1)).cast("long"))
         .select(*df.columns, out)
     )
 

@@ -118,9 +118,27 @@ def idle_sessions_stream(events: DataFrame, gap: str = "1 hour", late: str = "10
     return J.activity_sessions(events.withWatermark("ts", late), gap)
 
 
-def incremental_sweep(new_bitext: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Terminology and untouched-text checks on arriving segments against a static glossary."""
-    return W.term_violation_join(new_bitext, glossary)
+def incremental_sweep(new_bitext: DataFrame, glossary: DataFrame, **untranslated) -> DataFrame:
+    """Terminology and untouched-text findings of one arriving batch against a static glossary."""
+    rows = W.with_norms(new_bitext)
+    return W.term_violation_join(rows, glossary).unionByName(W.check_untranslated(rows, **untranslated))
+
+
+def sweep_available(arriving: DataFrame, glossary: DataFrame, **untranslated) -> DataFrame:
+    """Check everything that has arrived, micro-batch by micro-batch, and return the findings written.
+
+    Each batch overwrites a folder of its own number, so a batch that is repeated after a failure counts once.
+    """
+    spark = arriving.sparkSession
+    base = f"{shared_dir(spark)}/segloom/{uuid.uuid4().hex}"
+
+    def check(batch: DataFrame, number: int) -> None:
+        incremental_sweep(batch, glossary, **untranslated).write.mode("overwrite").parquet(f"{base}/out/n={number}")
+
+    schema = incremental_sweep(spark.createDataFrame([], arriving.schema), glossary, **untranslated).schema
+    writer = arriving.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
+    writer.foreachBatch(check).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def quality_stream(actions: DataFrame, late: str = "1 hour") -> DataFrame:
