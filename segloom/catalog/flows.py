@@ -18,6 +18,7 @@ from segloom.operators import ledger as L
 from segloom.operators import repetition as R
 from segloom.operators import review as V
 from segloom.plans.cut import cut
+from segloom.plans.ordering import running
 from segloom.streaming import jobs as Z
 
 # extraction -------------------------------------------------------------------------------------
@@ -278,17 +279,40 @@ def _dchanges(spark, d):
 
 
 def operations(spark, d):
-    """Edit operations of the log; every 40th names a stale revision, the rest whatever is current."""
+    """Edit operations of the log. Every 40th names a stale revision, the others the one that is current then.
+
+    Each accepted edit brings a new text, so it raises the revision; an undo does while there is something to take
+    back. With S the edits minus undos so far, undos that met an empty stack number as many as S has been below 0.
+    """
     log = X.review_log(spark, d).filter("action in ('edit', 'undo', 'commit')")
-    # without conflicts every edit of new text and every undo of something bumps the revision
-    levels = log.withColumn("step", F.when(F.col("action") == "edit", 1).when(F.col("action") == "undo", -1).otherwise(0))
-    return levels.select(
-        "session_id", "seq", "action", F.when(F.col("seq") % 40 == 0, -1).otherwise(0).alias("expected_revision"),
+    good = F.col("seq") % 40 != 0
+    steps = log.withColumns({
+        "e": (good & (F.col("action") == "edit")).cast("long"), "u": (good & (F.col("action") == "undo")).cast("long"),
+    })
+    key = ["session_id"]
+    sums = running(steps, key, "seq", {"es": ("sum", F.col("e")), "us": ("sum", F.col("u"))})
+    low = running(sums, key, "seq", {"low": ("min", F.col("es") - F.col("us"))}, exclusive=True)
+    prior = running(low, key, "seq", {"prior": ("max", F.col("seq"))}, exclusive=True)
+    current = F.col("es") - F.col("e") + F.col("us") - F.col("u") - F.greatest(F.lit(0), -F.coalesce("low", F.lit(0)))
+    return prior.select(
+        "session_id", "seq", "action", F.when(good, current).otherwise(F.lit(-1)).cast("long").alias("expected_revision"),
         F.array(F.struct("idx", F.col("new_target").alias("text"), F.lit("").alias("base"))).alias("edits"),
+        F.coalesce("prior", F.lit(0)).cast("long").alias("prior"),
     )
 
 
-@query("replay_edit_log")
+_REPLAY_SQL = """
+WITH o AS (
+  SELECT session_id, seq, action, seq % 40 <> 0 AS accepted,
+    CASE WHEN seq % 40 <> 0 AND action = 'edit' THEN 1 ELSE 0 END AS e, CASE WHEN seq % 40 <> 0 AND action = 'undo' THEN 1 ELSE 0 END AS u
+  FROM review_log WHERE action IN ('edit', 'undo', 'commit')),
+s AS (SELECT *, sum(e) OVER w AS es, sum(u) OVER w AS us FROM o WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+r AS (SELECT *, CAST(es + us - greatest(0, -min(es - us) OVER (PARTITION BY session_id ORDER BY seq)) AS INT) AS revision FROM s),
+c AS (SELECT *, last_value(CASE WHEN accepted AND action = 'commit' THEN revision END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq) AS committed FROM r)
+SELECT session_id, seq, action, accepted, revision, revision <> coalesce(committed, 0) AS dirty FROM c"""
+
+
+@query("replay_edit_log", _REPLAY_SQL, "review_log")
 def _replay(spark, d):
     return V.replay_edit_log(operations(spark, d)).select("session_id", "seq", "action", "accepted", "revision", "dirty")
 
@@ -575,9 +599,10 @@ def _quality_stream(spark, d):
     return Z.run_available(Z.quality_stream(arriving)).select("id", "seq", "disposition")
 
 
-@query("replay_stream")
+@query("replay_stream", _REPLAY_SQL, "review_log")
 def _replay_stream(spark, d):
-    ops = cut(operations(spark, d))
+    """The same log arriving out of order, a file at a time."""
+    ops = cut(operations(spark, d).repartition(3, F.xxhash64("session_id", "seq")).sortWithinPartitions(F.xxhash64("seq")))
     Z.use_rocksdb(spark)
-    arriving = spark.readStream.schema(ops.schema).parquet(ops.inputFiles()[0].rsplit("/", 1)[0])
+    arriving = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(ops.inputFiles()[0].rsplit("/", 1)[0])
     return Z.run_available(Z.replay_stream(arriving)).select("session_id", "seq", "action", "accepted", "revision", "dirty")

@@ -68,7 +68,7 @@ def libraries(spark, d):
     entries = F.transform(
         F.split("text", "\n"),
         lambda t, i: F.struct(
-            F.concat(F.lit("e"), i.cast("string")).alias("id"), F.substring(t, 1, 600).alias("source"),
+            F.concat(F.lit("e"), i.cast("string")).alias("id"), t.alias("source"),
             F.lit("x").alias("target"), F.lit(None).cast("string").alias("notes"),
         ),
     )
@@ -83,8 +83,8 @@ def libraries(spark, d):
 
 
 _LIB = """
-l AS (SELECT doc_id, 'a' AS glossary_id, CAST(pos AS INT) AS pos, trim(substr(line, 1, 600)) AS source FROM lines
-      UNION ALL SELECT doc_id, 'b', CAST(pos AS INT), trim(substr(line, 1, 600)) FROM lines WHERE pos < 2)"""
+l AS (SELECT doc_id, 'a' AS glossary_id, CAST(pos AS INT) AS pos, trim(line) AS source FROM lines
+      UNION ALL SELECT doc_id, 'b', CAST(pos AS INT), trim(line) FROM lines WHERE pos < 2)"""
 _LINES = f"lines AS ({X._LINES.format(text='text')})"
 
 

@@ -205,7 +205,7 @@ class Draft:
 
 REPLAY_SCHEMA = (
     "session_id bigint, seq bigint, action string, accepted boolean, revision int, dirty boolean, "
-    "changes array<struct<idx:int,text:string>>"
+    "changes array<struct<idx:bigint,text:string>>"
 )
 
 

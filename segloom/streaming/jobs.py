@@ -33,9 +33,12 @@ class JobStateProcessor(StatefulProcessor):
     busy job is folded batch by batch. A cancel overwrites any other ending.
     """
 
+    def __init__(self, ttl_ms: int | None) -> None:
+        self._ttl = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._job = handle.getValueState(
-            "job", "end_at long, end_id long, end_kind string, cancel_at long, cancel_id long, started boolean"
+            "job", "end_at long, end_id long, end_kind string, cancel_at long, cancel_id long, started boolean", self._ttl
         )
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -67,44 +70,100 @@ class JobStateProcessor(StatefulProcessor):
         pass
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """Changes of job state as they happen (update mode); newest row per job is its state."""
+def job_state_stream(events: DataFrame, *, ttl_ms: int | None = None) -> DataFrame:
+    """Changes of job state as they happen (update mode); newest row per job is its state.
+
+    With ``ttl_ms``, jobs without an event for so long are forgotten (for streams that run on: it needs processing time).
+    """
     return events.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobStateProcessor(), outputStructType=STATE_SCHEMA, outputMode="Update", timeMode="None"
+        statefulProcessor=JobStateProcessor(ttl_ms), outputStructType=STATE_SCHEMA, outputMode="Update",
+        timeMode="ProcessingTime" if ttl_ms else "None",
     )
 
 
+class _Texts:
+    """Texts of a draft in map state; only the places asked for are read or written."""
+
+    def __init__(self, state: Any) -> None:
+        self._state = state
+
+    def get(self, idx: int, base: str) -> str:
+        return self._state.getValue((idx,))[0] if self._state.containsKey((idx,)) else base
+
+    def update(self, changed: dict[int, str]) -> None:
+        for idx, text in changed.items():
+            self._state.updateValue((idx,), (text,))
+
+
+class _Steps:
+    """Undo steps of a draft in map state by height."""
+
+    def __init__(self, state: Any, height: int) -> None:
+        self._state, self.height = state, height
+
+    def __bool__(self) -> bool:
+        return self.height > 0
+
+    def append(self, step: dict[int, str]) -> None:
+        self._state.updateValue((self.height,), (list(step), list(step.values())))
+        self.height += 1
+
+    def pop(self) -> dict[int, str]:
+        self.height -= 1
+        idx, text = self._state.getValue((self.height,))
+        self._state.removeKey((self.height,))
+        return dict(zip(idx, text))
+
+
+_WAITING = "seq long, action string, expected long, idx array<long>, text array<string>, base array<string>"
+
+
 class ReplayProcessor(StatefulProcessor):
-    """Edit log of one session: texts in a map, undo steps in a list, revisions in a value."""
+    """Edit log of one session. Operations wait until the one they follow has been applied, however late it comes."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self._ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._texts = handle.getMapState("texts", "idx int", "text string")
-        self._stack = handle.getListState("stack", "idx array<int>, text array<string>")
-        self._revision = handle.getValueState("revision", "revision int, committed int")
+        self._texts = handle.getMapState("texts", "idx long", "text string", self._ttl)
+        self._steps = handle.getMapState("steps", "height int", "idx array<long>, text array<string>", self._ttl)
+        self._waiting = handle.getMapState("waiting", "prior long", _WAITING, self._ttl)
+        self._head = handle.getValueState("head", "revision int, committed int, height int, last long", self._ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        draft = Draft()
-        if self._revision.exists():
-            draft.revision, draft.committed = self._revision.get()
-        draft.texts = {k[0]: v[0] for k, v in self._texts.iterator()}
-        draft.stack = [dict(zip(idx, text)) for idx, text in self._stack.get()]
-        out = []
+        draft, height, last = Draft(), 0, 0
+        if self._head.exists():
+            draft.revision, draft.committed, height, last = self._head.get()
+        draft.texts, draft.stack = _Texts(self._texts), _Steps(self._steps, height)
         for frame in rows:
-            for r in frame.sort_values("seq").itertuples(index=False):
-                out.append(_outcome(draft, r.session_id, r.seq, r.action, r.expected_revision, r.edits))
-        for idx, text in draft.texts.items():
-            self._texts.updateValue((idx,), (text,))
-        self._stack.put([(list(s), list(s.values())) for s in draft.stack])
-        self._revision.update((draft.revision, draft.committed))
-        yield pd.DataFrame(out)
+            for r in frame.itertuples(index=False):
+                edits = [(int(e["idx"]), e["text"], e["base"]) for e in r.edits]
+                self._waiting.updateValue((int(r.prior),), (
+                    int(r.seq), r.action, int(r.expected_revision), *([e[k] for e in edits] for k in range(3))
+                ))
+        out = []
+        while self._waiting.containsKey((last,)):
+            seq, action, expected, *parts = self._waiting.getValue((last,))
+            self._waiting.removeKey((last,))
+            edits = [{"idx": i, "text": t, "base": b} for i, t, b in zip(*parts)]
+            out.append(_outcome(draft, key[0], seq, action, expected, edits))
+            last = seq
+        self._head.update((draft.revision, draft.committed, draft.stack.height, last))
+        if out:
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-def replay_stream(operations: DataFrame) -> DataFrame:
+def replay_stream(operations: DataFrame, *, ttl_ms: int | None = None) -> DataFrame:
+    """Outcomes of ``replay_edit_log`` for operations that arrive in any order, over any number of micro-batches.
+
+    ``prior`` is the ``seq`` of the session's previous operation (0 for its first). With ``ttl_ms``, sessions idle
+    for so long lose their state (for streams that run on: it needs processing time).
+    """
     return operations.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=ReplayProcessor(), outputStructType=REPLAY_SCHEMA, outputMode="Append", timeMode="None"
+        statefulProcessor=ReplayProcessor(ttl_ms), outputStructType=REPLAY_SCHEMA, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
 
 
