@@ -132,7 +132,7 @@ def _translate(spark, d):
     return H.translate_batches(X.batches_of_40(spark, d), _angle)
 
 
-@query("localise", f"""
+_LOCALISE_SQL = f"""
 WITH {tokens_sql('segments', 'original_text', 'tk')},
 prep AS (SELECT deck_id, idx, string_agg(CASE WHEN opens THEN 'du' WHEN closes OR bridges THEN '' ELSE coalesce({_DICT}, tok) END, '' ORDER BY i) AS p FROM tk GROUP BY ALL),
 mt AS (SELECT DISTINCT deck_id, idx, CASE WHEN opens THEN 'of the' ELSE lower(tok) END AS k FROM tk WHERE NOT closes AND NOT bridges AND (opens OR {_DICT} IS NOT NULL)),
@@ -142,11 +142,26 @@ pairs AS (SELECT plan.deck_id, plan.idx, '<' || trim(p) || '>' AS target, coales
 {tokens_sql('pairs', 'target', 'tt')},
 tj AS (SELECT tt.*, known, list_contains(known, 'of the') AS c FROM tt JOIN pairs USING (deck_id, idx))
 SELECT deck_id, idx, string_agg(CASE WHEN opens AND c THEN 'du' WHEN (closes OR bridges) AND c THEN ''
-    WHEN list_contains(known, lower(tok)) THEN coalesce({_DICT}, tok) ELSE tok END, '' ORDER BY i) AS target FROM tj GROUP BY ALL""", "segments")
+    WHEN list_contains(known, lower(tok)) THEN coalesce({_DICT}, tok) ELSE tok END, '' ORDER BY i) AS target FROM tj GROUP BY ALL"""
+
+
+@query("localise", _LOCALISE_SQL, "segments")
 def _localise(spark, d):
     return H.localise(X.segments(spark, d), _angle, _merged(spark)).select("deck_id", "idx", "target")
 
 
+def _forgetful(texts):
+    """A first attempt that loses the last text of every other batch and repeats one of the others."""
+    replies = _angle(texts)
+    return replies[:-1] if len(texts) % 2 else [*replies, replies[0]]
+
+
+@query("localise_retry", _LOCALISE_SQL, "segments")
+def _localise_retry(spark, d):
+    """Broken first attempts leave no trace: every batch is repaired by its retry."""
+    return H.localise(X.segments(spark, d), _forgetful, _merged(spark), retry_fn=_angle).select("deck_id", "idx", "target")
+
+
 _DONE = "(batch_no * 7919 % 10007) * 100000 + batch_no"
 
 

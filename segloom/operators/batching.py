@@ -180,7 +180,9 @@ def retry_set(batched: DataFrame, outputs: DataFrame) -> DataFrame:
     return sizes.join(done, _BATCH, "left_anti")
 
 
-def translate_batches(batched: DataFrame, fn: Callable[[list[str]], list[str]], text: str = "original_text") -> DataFrame:
+def translate_batches(
+    batched: DataFrame, fn: Callable[[list[str]], list[str]], text: str = "original_text", attempt: int = 1
+) -> DataFrame:
     """Call ``fn`` once per batch, list of texts in, list of texts out.
 
     ``batched`` carries 1-based ``item``. Batches are packed into rows first, so a call never sees
@@ -196,7 +198,7 @@ def translate_batches(batched: DataFrame, fn: Callable[[list[str]], list[str]],
             for row in frame.itertuples(index=False):
                 replies = fn(list(row.texts))
                 yield pd.DataFrame({
-                    "deck_id": row.deck_id, "batch_no": row.batch_no, "attempt": 1,
+                    "deck_id": row.deck_id, "batch_no": row.batch_no, "attempt": attempt,
                     "item_index": range(1, len(replies) + 1), "seq": range(1, len(replies) + 1), "text": replies,
                 })
 
@@ -207,20 +209,23 @@ def translate_batches(batched: DataFrame, fn: Callable[[list[str]], list[str]],
 
 def localise(
     segments: DataFrame, fn: Callable[[list[str]], list[str]], glossary: DataFrame | None = None,
-    *, size: int = 80,
+    *, size: int = 80, retry_fn: Callable[[list[str]], list[str]] | None = None,
 ) -> DataFrame:
     """Whole flow: substitute terms, work on one of each repeat, reassemble, expand, enforce.
 
-    The plan and the replies are each written once; they feed several branches and the replies
-    are the expensive part.
+    Batches whose replies are not complete are sent once more (to ``retry_fn`` if given) and only those; what is
+    still missing then keeps its source. The plan and the replies are each written once; they feed several
+    branches and the replies are the expensive part.
     """
     prepared = segments.withColumn("prepared_text", F.col("original_text"))
     if glossary is not None:
         prepared = apply_glossary(segments, glossary)
     plan = cut(repetition_plan(prepared))
     batched = cut(assign_batches(plan.filter("is_unique"), size).withColumn("item", F.col("item") + 1))
-    replies = cut(translate_batches(batched, fn, "prepared_text"))
-    resolved = resolve_outputs(batched, replies)
+    first = cut(translate_batches(batched, fn, "prepared_text"))
+    broken = batched.join(retry_set(batched, first).select(*_BATCH), _BATCH, "left_semi")
+    second = cut(translate_batches(broken, retry_fn or fn, "prepared_text", attempt=2))
+    resolved = resolve_outputs(batched, first.unionByName(second))
     targets = expand_repeats(plan, resolved)
     pairs = segments.join(targets, ["deck_id", "idx"])
     return pairs if glossary is None else enforce_glossary(pairs, glossary)

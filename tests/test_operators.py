@@ -46,6 +46,16 @@ def test_matching_boundaries_and_substitution(spark):
     assert one == other and ("d", 1, "Game", "게임", 1) in one
 
 
+def test_matching_folds_both_sides_at_any_length(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    b = bitext(spark, [("Der ſun und die STRASSE", ""), ("so: " + long.upper() + " end", "")])
+    g = terms(spark, [("sun", "Sonne"), ("straße", "road"), (long, "LONG")] + [(f"other{i}", "x") for i in range(40)])
+    got = {(r["idx"], r["target"]) for r in M.glossary_match(b, g).collect()}
+    assert got == {(0, "Sonne"), (0, "road"), (1, "LONG")}
+    texts = {r["idx"]: r["prepared_text"] for r in M.apply_glossary(b, g).collect()}
+    assert texts == {0: "Der Sonne und die road", 1: "so: LONG end"}
+
+
 def test_enforcement_uses_own_terms_only(spark):
     b = bitext(spark, [("공지", "Notice 공지"), ("Notice", "Notice 공지"), ("none", "Notice 공지")])
     g = terms(spark, [("공지", "Notice"), ("Notice", "공지")])

@@ -64,3 +64,10 @@ def test_salted_joins_equal_plain_joins(spark):
 def test_bounded_rows(spark):
     assert len(bounded_rows(spark.range(5), 5)) == 5
     assert bounded_rows(spark.range(6), 5) is None
+
+
+def test_positions_are_long(spark):
+    df = spark.createDataFrame([("d", (1 << 40) + 5 * i) for i in range(100)], "deck_id string, k long")
+    out = position(df, ["deck_id"], "k", "p", start=(1 << 33))
+    assert dict(out.dtypes)["p"] == "bigint"
+    assert sorted(r.p for r in out.collect()) == [(1 << 33) + i for i in range(100)]

@@ -25,6 +25,11 @@ def test_prose_and_letters(spark):
     assert values(spark, [("12.5%",), ("ab",), ("가",)], "s string", T.has_cjk("s")) == [False, False, True]
 
 
+def test_matching_form_is_casefolded(spark):
+    got = values(spark, [("STRASSE",), (" straße ",), ("ΣΊΣΥΦΟΣ",), ("σίσυφος",), ("ſun",), ("ﬁn",)], "s string", T.norm_text("s"))
+    assert got == ["strasse", "strasse", "σίσυφοσ", "σίσυφοσ", "sun", "fin"]
+
+
 def test_limits(spark):
     assert values(spark, [("abcdefghij",), ("",)], "s string", T.char_limit("s", 85)) == [8, 1]
     assert values(spark, [("",), ("ab",), ("a" * 41,)], "s string", T.approx_tokens("s")) == [0, 1, 10]
