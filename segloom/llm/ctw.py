@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from segloom.llm import tokens
 from segloom.llm.tables import cut, row_key
 
-DEPTH = 5
+DEPTH = 4
 END = 255
 #: Model entries in one broadcast pack: 12 bytes each.
 PACK_ENTRIES = 12_000_000
 FOLDS, HELD_OUT = 7, 2
 FRAGMENT_BYTES = 16 << 20
 #: Text bytes whose n-grams are held at a time.
-GRAM_BLOCK_BYTES = 4 << 20
+GRAM_BLOCK_BYTES = 2 << 20
 _HALF = float(np.log(0.5))
 
 
