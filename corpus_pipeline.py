@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from segloom.llm import bitplanes, curriculum, decontaminate, jaccard_join, quality
 from segloom.llm.catalog import tokenizer_path
-from segloom.llm.tables import cut, within, without
+from segloom.llm.tables import cut, row_key, within, without
 from segloom.plans.ship import ship
 
 
@@ -34,7 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = without(docs, goes.select("doc_id", "key"))
     if twice.isEmpty():
         return kept
-    return without(kept, twice).unionByName(within(kept, twice).distinct())
+    copies = within(kept, twice)
+    single = copies.withColumn("__key", row_key(copies)).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return without(kept, twice).unionByName(single)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
