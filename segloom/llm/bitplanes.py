@@ -36,7 +36,10 @@ from segloom.plans.cut import shared_dir
 BLOCK = 8192
 CHUNK_IDS = 1 << 20
 END_ID = 2
-CACHED_WORDS = 500_000
+#: Words whose ids a Python worker keeps, and that the tokenizer gets at a time.
+CACHED_WORDS = 300_000
+ENCODED_WORDS = 5_000
+BLOCK_BYTES = 2 << 20
 CHUNK_SCHEMA = (
     "part int, chunk int, start bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<int>, "
     "bits array<tinyint>, index array<int>, payload binary"
@@ -76,10 +79,12 @@ class _Encoder:
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         new = [w for w in distinct if w not in self.known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         kind = np.uint16 if self.width == 2 else np.uint32
-        for w, e in zip(new, found):
-            self.known[w] = np.array(e.ids, kind).tobytes()
+        for at in range(0, len(new), ENCODED_WORDS):
+            part = new[at : at + ENCODED_WORDS]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for w, e in zip(part, found):
+                self.known[w] = np.array(e.ids, kind).tobytes()
         table = pa.array([*(self.known[w] for w in distinct), self.end], pa.large_binary())
         ends = starts[1:] + np.arange(len(texts))  # the end id follows the last piece of each text
         order = np.full(len(words) + len(texts), len(distinct), np.int64)
@@ -117,7 +122,7 @@ _KIND = _kinds()
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: list[int]) -> Iterator[pa.RecordBatch]:
     encoder, limits = _encoder(path, end_id), np.array(bounds, np.int64)
-    for block in tokens.blocks(batches):
+    for block in tokens.blocks(batches, limit=BLOCK_BYTES):
         ids = encoder.ids(block.column("text"))
         doc = block.column("doc_id").fill_null(2**63 - 1).to_numpy(zero_copy_only=False)
         digest = block.column("digest").to_numpy(zero_copy_only=False)
