@@ -71,8 +71,8 @@ def dedup_lines(docs: DataFrame, *, window: int = WINDOW, text: str = "text", do
     gone = cut(later_runs(docs, window=window, text=text, doc=doc)).select(
         F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col("lines").alias("__gone")
     )
-    joined = docs.withColumn("__key", row_key(docs)).join(
-        gone, (F.col("__key") == F.col("__k")) & F.col(doc).eqNullSafe(F.col("__d")), "left"
+    joined = docs.withColumn("__key", row_key(docs)).join(  # what goes grows with the corpus: never broadcast
+        gone.hint("merge"), (F.col("__key") == F.col("__k")) & F.col(doc).eqNullSafe(F.col("__d")), "left"
     )
     kept = F.array_join(F.transform(
         F.filter(
