@@ -39,8 +39,8 @@ from segloom.llm.tables import cut, row_key
 
 LENGTH = 100
 GRAM = 24
-FRAGMENT_BYTES = 4 << 20
-BLOCK_BYTES = 4 << 20
+FRAGMENT_BYTES = 2 << 20
+BLOCK_BYTES = 2 << 20
 #: Windows sorted at a time; groups of equal hash are never split.
 SLICE = 200_000
 _ROWS = "frag int, block bigint, data binary, more binary, docs binary"
@@ -124,7 +124,7 @@ class Anchors:
         starts = np.flatnonzero(new)
         self.first = window[starts]
         self.last = window[np.append(starts[1:], len(window)) - 1]
-        self.hash = h[where[starts]]
+        self.hash = tokens.mixed(h[where[starts]])  # the least hashes are small numbers: spread them
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -224,17 +224,27 @@ class Pieces:
             metas.append(meta)
             blocks.append(np.full(meta.shape[1], r["block"], np.int64))
             bodies.append(np.frombuffer(_expand(r["data"]), np.uint8))
-        doc, owner, first, windows, before, base = np.concatenate(metas, axis=1)
-        block = np.concatenate(blocks)
+        self.doc, self.owner, self.first, windows, self.before, self.base = np.concatenate(metas, axis=1)
+        self.block = np.concatenate(blocks)
         self.buffer = np.concatenate(bodies)
-        begins = np.cumsum(windows + length - 1) - (windows + length - 1)
-        piece = np.repeat(np.arange(len(windows)), windows)
-        step = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-        self.at = begins[piece] + step  # in the buffer
-        self.doc, self.owner, self.block = doc[piece], owner[piece], block[piece]
-        self.start = first[piece] + step  # in the block
-        self.place = self.start - base[piece]  # in the text
-        self.left = np.where(step > 0, self.buffer[np.maximum(self.at - 1, 0)].astype(np.int64), before[piece])
+        sizes = windows + length - 1
+        self.begin = np.cumsum(sizes) - sizes
+        self.piece = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+        ahead = np.repeat((self.begin - np.cumsum(windows) + windows).astype(np.int32), windows)
+        self.at = np.arange(len(self.piece), dtype=np.int32) + ahead  # window start in the buffer
+
+    def start(self, w: np.ndarray) -> np.ndarray:
+        """Start of windows in their block."""
+        return self.first[self.piece[w]] + self.at[w] - self.begin[self.piece[w]]
+
+    def place(self, w: np.ndarray) -> np.ndarray:
+        """Start of windows in their text."""
+        return self.start(w) - self.base[self.piece[w]]
+
+    def left(self, w: np.ndarray) -> np.ndarray:
+        """Byte before each window, -1 at the start of a text."""
+        inner = self.at[w] > self.begin[self.piece[w]]
+        return np.where(inner, self.buffer[np.maximum(self.at[w] - 1, 0)].astype(np.int64), self.before[self.piece[w]])
 
     def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Windows that may repeat, in byte order, with the common prefix of each with its predecessor."""
@@ -279,10 +289,11 @@ def _mark(table: pa.Table, length: int) -> pa.Table:
         group = np.cumsum(prefix < length) - 1  # intervals of full length: equal windows
         if not (prefix >= length).any():
             continue
-        doc, row = p.doc[order], np.stack([p.block[order], p.owner[order]])
+        piece = p.piece[order]
+        doc, row = p.doc[piece], np.stack([p.block[piece], p.owner[piece]])
         least = np.full(group[-1] + 1, LAST)
         np.minimum.at(least, group, doc)
-        inner = np.lexsort((p.start[order], row[1], row[0], group))
+        inner = np.lexsort((p.start(order), row[1], row[0], group))
         same = np.zeros(len(order), bool)
         g, r = group[inner], row[:, inner]
         same[inner[1:]] = (g[1:] == g[:-1]) & (r[0, 1:] == r[0, :-1]) & (r[1, 1:] == r[1, :-1])
@@ -290,9 +301,11 @@ def _mark(table: pa.Table, length: int) -> pa.Table:
     out = []
     if hits:
         hit = np.concatenate(hits)
-        hit = hit[np.lexsort((p.start[hit], p.block[hit]))]
-        for b in np.unique(p.block[hit]).tolist():
-            s = p.start[hit[p.block[hit] == b]]
+        block, start = p.block[p.piece[hit]], p.start(hit)
+        order = np.lexsort((start, block))
+        block, start = block[order], start[order]
+        edges = np.searchsorted(block, names := np.unique(block))
+        for b, s in zip(names.tolist(), np.split(start, edges[1:])):
             new = np.append(True, s[1:] > s[:-1] + 1)
             first = np.flatnonzero(new)
             spans = np.stack([s[first], s[np.append(first[1:], len(s)) - 1] + length], axis=1)
@@ -359,12 +372,12 @@ def maximal_groups(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, t
         for order, prefix in p.suffixes():
             for _, a, b in intervals(prefix, length):
                 mine = order[a : b + 1]
-                left = p.left[mine]
+                left = p.left(mine)
                 if (left == -1).any() or (left != left[0]).any():
                     name = hashlib.sha256(p.buffer[p.at[mine[0]] : p.at[mine[0]] + length].tobytes()).hexdigest()
                     out["group_id"] += [name] * len(mine)
-                    out["doc_id"] += [None if d == LAST else d for d in p.doc[mine].tolist()]
-                    out["start"] += p.place[mine].tolist()
+                    out["doc_id"] += [None if d == LAST else d for d in p.doc[p.piece[mine]].tolist()]
+                    out["start"] += p.place(mine).tolist()
         return pa.table(out, schema=pa.schema([("group_id", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64())]))
 
     table = _pieces_table(docs, length, min(gram, length), text, doc)
