@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segloom.llm import tokens
-from segloom.llm.tables import cut, row_key
+from segloom.llm.tables import cut, drop, row_key
 
-DEPTH = 4
+DEPTH = 5
 END = 255
 #: Model entries in one broadcast pack: 12 bytes each.
 PACK_ENTRIES = 12_000_000
@@ -40,6 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 FRAGMENT_BYTES = 16 << 20
 #: Text bytes whose n-grams are held at a time.
 GRAM_BLOCK_BYTES = 2 << 20
+#: Distinct n-grams that a counting task holds before it hands them on.
+HELD_GRAMS = 2_000_000
 _HALF = float(np.log(0.5))
 
 
@@ -72,23 +74,32 @@ def byte_grams(data: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.nda
 
 
 def _counted(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    total: pd.Series | None = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for block in tokens.blocks(batches, limit=GRAM_BLOCK_BYTES):
         gram, _ = byte_grams(*tokens.bytes_of(block.column("text")), depth)
-        codes, distinct = pd.factorize(gram)
-        part = pd.Series(np.bincount(codes), index=distinct)
-        total = part if total is None else total.add(part, fill_value=0)
-        if len(total) > 2_000_000:
-            yield _gram_batch(total)
-            total = None
-    if total is not None:
-        yield _gram_batch(total)
-
-
-def _gram_batch(total: pd.Series) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(total.index.to_numpy(np.uint64).view(np.int64)), pa.array(total.to_numpy().astype(np.int64))], ["gram", "n"]
-    )
+        held.append(np.unique(gram, return_counts=True))
+        if sum(len(g) for g, _ in held) > HELD_GRAMS:
+            held = [_merged(held)]
+            if len(held[0][0]) > HELD_GRAMS // 2:
+                yield _gram_batch(*held.pop())
+    if held:
+        yield _gram_batch(*_merged(held))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    grams, counts = np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
+    return grams[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _gram_batch(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array((grams >> np.uint64(8)).view(np.int64)), pa.array((grams & np.uint64(255)).astype(np.int32)), pa.array(counts.astype(np.int64)),
+    ], ["ctx", "byte", "n"])
 
 
 def _log_gamma(x: Column) -> Column:
@@ -108,64 +119,70 @@ def _estimate(n0: Column, n1: Column) -> Column:
 
 
 def train(docs: DataFrame, *, depth: int = DEPTH, text: str = "text") -> DataFrame:
-    """Model of all texts of ``docs``: ``level, ctx, node, p`` (probability of a 1), one row per seen context and node."""
-    grams = cut(
-        docs.select(F.col(text).alias("text")).mapInArrow(lambda it: _counted(it, depth), "gram bigint, n bigint")
-        .groupBy("gram").agg(F.sum("n").alias("n"))
-    )
-    byte = F.col("gram").bitwiseAND(F.lit(255))
+    """Model of all texts of ``docs``: ``level, ctx, node, p`` (probability of a 1), one row per seen context and node.
+
+    Rows of a context meet before they fan out to nodes; estimates are worked out anew from the counts where they are
+    needed, and a level's counts go as soon as its probabilities stand.
+    """
+    grams = docs.select(F.col(text).alias("text")).mapInArrow(
+        lambda it: _counted(it, depth), "ctx bigint, byte int, n bigint"
+    ).repartition("ctx")
     steps = F.explode(F.array(*[
         F.struct(
-            F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k)).cast("int").alias("node"),
-            F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("bit"),
+            F.shiftright("byte", 8 - k).bitwiseOR(F.lit(1 << k)).alias("node"),
+            F.shiftright("byte", 7 - k).bitwiseAND(F.lit(1)).alias("bit"),
         ) for k in range(8)
     ]))
-    bits = grams.select(F.shiftrightunsigned("gram", 8).alias("ctx"), "n", steps.alias("s"))
-    deepest = bits.groupBy("ctx", F.col("s.node").alias("node")).agg(
+    deepest = grams.select("ctx", "n", steps.alias("s")).groupBy("ctx", F.col("s.node").alias("node")).agg(
         F.sum(F.when(F.col("s.bit") == 0, F.col("n")).otherwise(F.lit(0))).alias("n0"),
         F.sum(F.when(F.col("s.bit") == 1, F.col("n")).otherwise(F.lit(0))).alias("n1"),
     )
     own = _estimate(F.col("n0"), F.col("n1"))
-    levels = {depth: cut(deepest.withColumn("own", own).withColumn("all", F.col("own")))}
+    levels = {depth: cut(deepest)}  # nothing is longer there: ``all`` is its own estimate
     for d in range(depth - 1, -1, -1):
         shorter = F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1))
+        longer = F.col("all") if d + 1 < depth else own
         up = levels[d + 1].groupBy(shorter.alias("ctx"), "node").agg(
-            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("all").alias("longer")
+            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(longer).alias("longer")
         ).withColumn("own", own)
         high, low = F.greatest("own", "longer"), F.least("own", "longer")
-        levels[d] = cut(up.withColumn("all", F.lit(_HALF) + high + F.log1p(F.exp(low - high))))
+        levels[d] = cut(up.select("ctx", "node", "n0", "n1", (F.lit(_HALF) + high + F.log1p(F.exp(low - high))).alias("all")))
     out, above = None, None
     for d in range(depth + 1):
-        level = levels[d].withColumn("kt", (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1))
+        level = levels[d]
         if above is None:
             level = level.withColumns({"sum": F.lit(0.0), "left": F.lit(1.0)})
         else:
             shorter = F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
             level = level.withColumn("up", shorter).join(above, ["up", "node"])
-        stop = F.exp(F.lit(_HALF) + F.col("own") - F.col("all")) if d < depth else F.lit(1.0)
-        level = cut(level.withColumn("stop", stop).select(
-            F.lit(d).alias("level"), "ctx", "node",
-            (F.col("sum") + F.col("left") * (F.col("stop") * F.col("kt") + (1 - F.col("stop")) / 2)).alias("p"),
-            (F.col("sum") + F.col("left") * F.col("stop") * F.col("kt")).alias("sum"),
-            (F.col("left") * (1 - F.col("stop"))).alias("left"),
-        ))
-        above = level.select(F.col("ctx").alias("up"), "node", "sum", "left")
-        out = level.select("level", "ctx", "node", "p") if out is None else out.unionByName(level.select("level", "ctx", "node", "p"))
-    return cut(out)
+        kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+        if d < depth:
+            stop = F.exp(F.lit(_HALF) + own - F.col("all"))
+            level = cut(level.withColumn("stop", stop).select(
+                "ctx", "node", (F.col("sum") + F.col("left") * (F.col("stop") * kt + (1 - F.col("stop")) / 2)).cast("float").alias("p"),
+                (F.col("sum") + F.col("left") * F.col("stop") * kt).alias("sum"),
+                (F.col("left") * (1 - F.col("stop"))).alias("left"),
+            ))
+            above = level.select(F.col("ctx").alias("up"), "node", "sum", "left")
+        else:
+            level = cut(level.select("ctx", "node", (F.col("sum") + F.col("left") * kt).cast("float").alias("p")))
+        drop(levels.pop(d))
+        part = level.select(F.lit(d).alias("level"), "ctx", "node", "p")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 class Pack:
     """Model entries by level, sorted by (context, node)."""
 
-    def __init__(self, table: pa.Table, depth: int):
+    def __init__(self, model: DataFrame, depth: int):
         self.depth, self.levels = depth, []
-        level = table.column("level").to_numpy()
-        keys = (table.column("ctx").to_numpy().astype(np.uint64) << np.uint64(8)) | table.column("node").to_numpy().astype(np.uint64)
-        p = table.column("p").to_numpy()
-        for d in range(depth + 1):
-            mine = level == d
-            order = np.argsort(keys[mine])
-            self.levels.append((keys[mine][order], p[mine][order].astype(np.float32)))
+        key = F.shiftleft("ctx", 8).bitwiseOR(F.col("node").cast("long"))
+        for d in range(depth + 1):  # one at a time: the driver holds one unsorted level
+            table = model.filter(F.col("level") == d).select(key.alias("key"), "p").toArrow()
+            keys = table.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            self.levels.append((keys[order], table.column("p").to_numpy()[order]))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """Log10 probability of each n-gram's last byte; the deepest seen context of each bit has the mixture."""
@@ -193,10 +210,10 @@ def _scored(batches: Iterator[pa.RecordBatch], pack: Pack, number: int, packs: i
         gram, bounds = byte_grams(*tokens.bytes_of(block.column("text")), pack.depth)
         codes, distinct = pd.factorize(gram)
         order = np.argsort(distinct)
-        values = np.empty(len(distinct))
-        values[order] = pack.log10(distinct[order])
         if packs > 1:
-            values[_pack_of(distinct, packs) != number] = 0
+            order = order[_pack_of(distinct[order], packs) == number]
+        values = np.zeros(len(distinct))
+        values[order] = pack.log10(distinct[order])
         sums = np.concatenate([[0.0], np.cumsum(values[codes])])[bounds]
         yield pa.RecordBatch.from_arrays(
             [block.column("doc_id"), block.column("key"), pa.array(np.diff(sums)), pa.array(np.diff(bounds))],
@@ -216,8 +233,9 @@ def score(docs: DataFrame, model: DataFrame, *, depth: int = DEPTH, pack_entries
     out = None
     for k in range(packs):
         mine = (F.col("level") < 2) | (F.pmod(F.col("ctx").bitwiseAND(F.lit(0xFFFF)), F.lit(packs)) == k)
-        pack = docs.sparkSession.sparkContext.broadcast(Pack(model.filter(mine).toArrow(), depth))
-        part = rows.mapInArrow(_scorer(pack, k, packs), "doc_id bigint, key bigint, score double, n_bytes bigint").dropDuplicates(["doc_id", "key"])
+        pack = docs.sparkSession.sparkContext.broadcast(Pack(model.filter(mine), depth))
+        part = cut(rows.mapInArrow(_scorer(pack, k, packs), "doc_id bigint, key bigint, score double, n_bytes bigint").dropDuplicates(["doc_id", "key"]))
+        pack.destroy()
         out = part if out is None else out.unionByName(part)
     if packs == 1:
         return out
@@ -339,7 +357,7 @@ def lm_scores(docs: DataFrame, *, depth: int = DEPTH, pack_entries: int = PACK_E
     model = train(docs.filter(~held_out(F.col(doc))), depth=depth, text=text)
     deep = score(docs, model, depth=depth, pack_entries=pack_entries, text=text, doc=doc)
     base = base_scores(docs, text=text, doc=doc)
-    deep = cut(deep).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "score", "n_bytes")
+    deep = deep.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "score", "n_bytes")
     joined = base.join(deep, (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")))
     return joined.select(
         *base.columns, "score", (-F.col("score") / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte")

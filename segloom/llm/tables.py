@@ -29,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
         return plain.cut(df)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote for ``df``; nothing may read it any more."""
+    jvm, files = df.sparkSession._jvm, df.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def row_key(docs: DataFrame) -> Column:
     """Hash of a whole row. With the document number it names a row; equal rows share it. Maps hash as strings."""
     return F.xxhash64(*[

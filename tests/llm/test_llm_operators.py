@@ -502,6 +502,14 @@ def test_language_model(spark, odd, none, pack):
     assert ctw.lm_scores(none, depth=2).count() == 0
 
 
+def test_query_mixes_contexts_of_five_bytes(spark):
+    texts = [(i, f"{c}wxyz{d} " * 6) for i, (c, d) in enumerate(["ab", "ba", "cd", "dc"] * 6)]  # only the fifth byte back tells
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    deep = plain_ctw([t for d, t in texts if not held(d)], [t for _, t in texts], 5)
+    got = {r.doc_id: r.score for r in ctw.lm_scores(df).collect()}
+    assert np.allclose([got[d] for d, _ in texts], deep, atol=5e-3)
+
+
 def test_longer_contexts_help_on_held_out_text(docs):
     bits = []
     for depth in (1, 3):
