@@ -109,6 +109,29 @@ def test_quality_rejects_planted_outliers(spark):
     assert all(out[i].kept for i in out if i % 6)
 
 
+def test_quality_rejects_repeated_lines_and_words(spark):
+    """Repetition that the base rule lets pass: of lines, of words, and some of both."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(4000)]
+    texts = []
+    for i in range(600):
+        own = [[rng.choice(words) for _ in range(12)] for _ in range(10)]
+        if i % 20 == 0:  # three of ten lines of two words
+            own[1:5] = [["so", "on"]] * 4
+        elif i % 20 == 1:  # three words, eight times
+            for line in own[:8]:
+                line[3:6] = ["buy", "it", "now"]
+        elif i % 20 == 2:  # a tenth of the lines twice, and a tenth of the words
+            own[1] = list(own[0])
+        elif i % 20 == 3:  # one short line twice is not unusual enough
+            own[1:3] = [["so", "on"], ["so", "on"]]
+        texts.append("\n".join(" ".join(line) for line in own))
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    out = quality.quality(df).collect()
+    assert not any(r.base_failed for r in out)
+    assert {r.doc_id for r in out if not r.kept} == {i for i in range(600) if i % 20 < 3}
+
+
 def test_concentration_like_numpy(spark):
     """The distributed steps end at the estimate that numpy finds with the same start and rule."""
     rng = np.random.default_rng(1)
