@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segloom.functions import text as T
+from segloom.operators import automaton as A
+from segloom.plans.cut import cut
 
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
 
@@ -14,45 +16,47 @@ def _tokens(text) -> Column:
     return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def _folded(tokens: Column) -> Column:
-    return F.transform(tokens, T.fold)
-
-
 def term_table(glossary: DataFrame) -> DataFrame:
-    """One row per term: ``key`` (casefolded text), ``head`` (its first token), ``k`` tokens, ``target`` of its last entry."""
-    terms = glossary.withColumn("__f", _folded(_tokens(F.col("source")))).filter(F.size("__f") > 0)
-    return terms.groupBy(F.array_join("__f", "").alias("key")).agg(
-        F.first(F.get("__f", F.lit(0))).alias("head"), F.first(F.size("__f")).alias("k"), F.max_by("target", "pos").alias("target")
+    """One row per term: ``key`` (casefolded text), its ``tokens``, ``head`` (the first, casefolded), ``k`` of them, ``target`` of its last entry."""
+    terms = glossary.withColumn("__t", _tokens(F.col("source"))).filter(F.size("__t") > 0)
+    return terms.groupBy(T.fold("source").alias("key")).agg(
+        F.first(T.fold(F.get("__t", F.lit(0)))).alias("head"), F.first("__t").alias("tokens"),
+        F.first(F.size("__t")).alias("k"), F.max_by("target", "pos").alias("target"),
     )
 
 
-def _candidates(segments: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
+def _shared(terms: DataFrame) -> A.Shared | None:
+    rows = A.carried(terms.select("key", "target", "tokens"))
+    if rows is None:
+        return None
+    return A.share(terms.sparkSession, [(tuple(t.casefold() for t in r.tokens), r.key, r.target) for r in rows])
+
+
+def _ngrams(segments: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     """Every place of every term, overlaps included: ``deck_id, idx, start, stop, surface, key, target``.
 
     Tokens are words or single other characters, so equal token runs are exactly the matches that
-    respect word boundaries. Only positions whose token begins some term are followed up, and only for the lengths
-    of the terms it begins. Spark broadcasts the term tables while they are small and shuffles
-    narrow rows otherwise; the rows are the same.
+    respect word boundaries. Narrow rows of single tokens meet the first tokens of terms; only at the places this leaves
+    are runs cut out, for the lengths of the terms that begin so, and looked up by an equi-join. No row holds more
+    than one text, and nothing but a term table is ever small enough to be broadcast.
     """
-    terms = term_table(glossary)
-    heads = terms.groupBy("head").agg(F.collect_set("k").alias("ks"))
-    cut_up = segments.select("deck_id", "idx", _tokens(F.col(text)).alias("__t")).withColumn("__f", _folded(F.col("__t")))
-    starts = cut_up.select("deck_id", "idx", "__t", "__f", F.posexplode("__f").alias("start", "head")).join(heads, "head")
-    runs = starts.select("deck_id", "idx", "start", "__t", "__f", F.explode("ks").alias("k")).filter(F.col("start") + F.col("k") <= F.size("__f"))
-    part = lambda c: F.array_join(F.slice(c, F.col("start") + 1, F.col("k")), "")
-    keyed = runs.select(
-        "deck_id", "idx", "start", (F.col("start") + F.col("k")).alias("stop"), part("__t").alias("surface"), part("__f").alias("key")
+    heads = cut(terms.groupBy("head").agg(F.collect_set("k").alias("ks")))
+    single = segments.select("deck_id", "idx", F.posexplode(_tokens(F.col(text))).alias("start", "__w"))
+    near = single.withColumn("head", T.fold("__w")).join(heads, "head").groupBy("deck_id", "idx").agg(
+        F.collect_list(F.struct("start", "ks")).alias("__s")
     )
-    return keyed.join(terms.select("key", "target"), "key")
-
-
-_MATCH = ("start", "stop", "surface", "key", "target")
+    cut_up = segments.select("deck_id", "idx", _tokens(F.col(text)).alias("__t")).join(near, ["deck_id", "idx"])
+    spans = F.flatten(F.transform("__s", lambda s: F.transform(s["ks"], lambda k: F.struct(
+        s["start"].alias("start"), (s["start"] + k).alias("stop"), F.array_join(F.slice("__t", s["start"] + 1, k), "").alias("surface")
+    ))))
+    runs = cut_up.select("deck_id", "idx", F.size("__t").alias("__n"), F.inline(spans)).filter("stop <= __n").drop("__n")
+    return runs.withColumn("key", T.fold("surface")).join(terms.select("key", "target"), "key")
 
 
 def _settled(candidates: DataFrame) -> DataFrame:
     """Matches of each segment without overlaps, leftmost then longest: ``deck_id, idx, m`` (array in reading order)."""
     listed = candidates.groupBy("deck_id", "idx").agg(F.array_sort(F.collect_list(
-        F.struct("start", (-F.length("surface")).alias("neg"), *_MATCH[1:])
+        F.struct("start", (-F.col("stop")).alias("neg"), *_MATCH[1:])
     )).alias("c"))
     kept = F.aggregate(
         "c", F.struct(F.lit(0).alias("free"), F.slice("c", 1, F.lit(0)).alias("m")),
@@ -60,31 +64,51 @@ def _settled(candidates: DataFrame) -> DataFrame:
             x["start"] >= s["free"], F.struct(x["stop"].alias("free"), F.concat(s["m"], F.array(x)).alias("m"))
         ).otherwise(s),
     )["m"]
-    return listed.select("deck_id", "idx", kept.alias("m"))
+    plain = F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in _MATCH]))
+    return listed.select("deck_id", "idx", plain.alias("m"))
+
+
+_MATCH = ("start", "stop", "surface", "key", "target")
+
+
+def _places(segments: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
+    """Settled matches of each segment that has any: by automaton if the glossary can be carried, else by n-gram join."""
+    terms = cut(term_table(glossary))
+    shared = _shared(terms)
+    if shared is None:
+        return _settled(_ngrams(segments, terms, text))
+    return segments.select("deck_id", "idx", A.token_places(shared, _tokens(F.col(text))).alias("m")).filter(F.size("m") > 0)
 
 
 def match_positions(segments: DataFrame, glossary: DataFrame, text: str = "original_text") -> DataFrame:
-    """Every match in reading order: ``deck_id, idx, mpos, surface, target``; one path for any glossary."""
-    return _settled(_candidates(segments, glossary, text)).select("deck_id", "idx", F.posexplode("m").alias("mpos", "x")).select(
+    """Every match in reading order: ``deck_id, idx, mpos, surface, target``."""
+    return _listed(_places(segments, glossary, text))
+
+
+def _listed(places: DataFrame) -> DataFrame:
+    return places.select("deck_id", "idx", F.posexplode("m").alias("mpos", "x")).select(
         "deck_id", "idx", "mpos", "x.surface", "x.target"
     )
 
 
+def _counted(positions: DataFrame) -> DataFrame:
+    return positions.groupBy("deck_id", "idx", "surface", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 def glossary_match(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """Terms per segment as written there: ``deck_id, idx, surface, target, n``."""
-    return match_positions(segments, glossary).groupBy("deck_id", "idx", "surface", "target").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(match_positions(segments, glossary))
 
 
 def glossary_match_ngram(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """``glossary_match`` under the name of its method."""
-    return glossary_match(segments, glossary)
+    """As ``glossary_match``, by the n-gram join whatever the size of the glossary."""
+    return _counted(_listed(_settled(_ngrams(segments, cut(term_table(glossary)), "original_text"))))
 
 
-def _substituted(rows: DataFrame, text: str, matches: DataFrame, out: str) -> DataFrame:
-    """``rows`` with the matched token runs of ``text`` replaced by their targets, in ``out``."""
-    tokens = _tokens(F.col(text))
+def _woven(text: str) -> Column:
+    """``text`` with the places in ``__m`` replaced by their targets."""
     part = lambda t, first, stop: F.array_join(F.slice(t, first + 1, stop - first), "")
-    woven = T.let(F.struct(tokens.alias("t"), F.col("__m").alias("m")), lambda v: F.aggregate(
+    woven = T.let(F.struct(_tokens(F.col(text)).alias("t"), F.col("__m").alias("m")), lambda v: F.aggregate(
         v["m"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             x["stop"].alias("at"),
@@ -92,13 +116,22 @@ def _substituted(rows: DataFrame, text: str, matches: DataFrame, out: str) -> Da
         ),
         lambda s: F.concat(s["out"], part(v["t"], s["at"], F.size(v["t"]))),
     ))
-    joined = rows.join(matches.withColumnRenamed("m", "__m"), ["deck_id", "idx"], "left")
-    return joined.withColumn(out, F.when(F.col("__m").isNull(), F.col(text)).otherwise(woven)).drop("__m")
+    return F.when(F.coalesce(F.size("__m"), F.lit(0)) <= 0, F.col(text)).otherwise(woven)
+
+
+def _joined(rows: DataFrame, places: DataFrame) -> DataFrame:
+    return rows.join(places.withColumnRenamed("m", "__m"), ["deck_id", "idx"], "left")
 
 
 def apply_glossary(segments: DataFrame, glossary: DataFrame, text: str = "original_text") -> DataFrame:
     """Replace every matched term by its target, literally and in one pass."""
-    return _substituted(segments, text, _settled(_candidates(segments, glossary, text)), "prepared_text")
+    terms = cut(term_table(glossary))
+    shared = _shared(terms)
+    if shared is None:
+        found = _joined(segments, _settled(_ngrams(segments, terms, text)))
+    else:
+        found = segments.withColumn("__m", A.token_places(shared, _tokens(F.col(text))))
+    return found.withColumn("prepared_text", _woven(text)).drop("__m")
 
 
 def enforce_glossary(bitext: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -106,9 +139,16 @@ def enforce_glossary(bitext: DataFrame, glossary: DataFrame) -> DataFrame:
 
     Opposite-direction entries then cannot undo one another. Rows without a match keep their target.
     """
-    own = _settled(_candidates(bitext, glossary, "original_text")).select("deck_id", "idx", F.explode("m.key").alias("key")).distinct()
-    there = _candidates(bitext, glossary, "target").join(own, ["deck_id", "idx", "key"], "left_semi")
-    return _substituted(bitext, "target", _settled(there), "target").select(*bitext.columns)
+    terms = cut(term_table(glossary))
+    shared = _shared(terms)
+    if shared is None:
+        own = _settled(_ngrams(bitext, terms, "original_text")).select("deck_id", "idx", F.explode("m.key").alias("key")).distinct()
+        there = _ngrams(bitext, terms, "target").join(own, ["deck_id", "idx", "key"], "left_semi")
+        found = _joined(bitext, _settled(there))
+    else:
+        sides = [_tokens(F.col(c)) for c in ("original_text", "target")]
+        found = bitext.withColumn("__m", A.own_places(shared, *sides))
+    return found.withColumn("target", _woven("target")).select(*bitext.columns)
 
 
 def batch_glossary(batched: DataFrame, glossary: DataFrame) -> DataFrame:
