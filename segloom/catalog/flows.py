@@ -297,7 +297,7 @@ def operations(spark, d):
     return prior.select(
         "session_id", "seq", "action", F.when(good, current).otherwise(F.lit(-1)).cast("long").alias("expected_revision"),
         F.array(F.struct("idx", F.col("new_target").alias("text"), F.lit("").alias("base"))).alias("edits"),
-        F.coalesce("prior", F.lit(0)).cast("long").alias("prior"),
+        F.col("prior").cast("long").alias("prior"),
     )
 
 

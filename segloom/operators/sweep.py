@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from segloom.functions import text as T
 from segloom.functions import values as V
+from segloom.operators import automaton as A
 from segloom.plans.cut import cut
 from segloom.plans.ordering import position2
 from segloom.plans.skew import attach
@@ -90,20 +92,38 @@ def _grams(c: Column, sizes: list[int]) -> Column:
 
 
 def _holders(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """``rows`` joined with every term (``n``, any further columns) whose ``n`` is a substring of ``text``.
+    """``rows`` joined with every term (struct ``__t`` with ``n`` and any further columns) whose ``n`` is a substring of ``text``.
+
+    A glossary that can be carried is looked up where the texts are, in one pass and without moving any; beyond that
+    terms and texts meet over character grams. Both give the same rows.
+    """
+    written = cut(terms)
+    listed = A.carried(written)
+    if listed is None:
+        return _holders_by_gram(rows, text, written)
+    spark = rows.sparkSession
+    shared = A.share(spark, [r["n"] for r in listed])
+    numbered = spark.createDataFrame(
+        [(i, r) for i, r in enumerate(listed)], T_.StructType([T_.StructField("__no", T_.IntegerType()), T_.StructField("__t", written.schema)])
+    )
+    found = rows.withColumn("__no", F.explode(A.held(shared, F.col(text))))
+    return found.join(F.broadcast(numbered), "__no").drop("__no")
+
+
+def _holders_by_gram(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """``_holders`` for any number and length of terms.
 
     A term can only occur where all its character grams do, so each term is looked up by the one that fewest rows
-    have. Only (deck_id, idx, gram) rows meet the grams; texts come back for the few candidates. Spark broadcasts
-    the term tables while they are small; any number and length of terms takes the same path.
+    have. Only (deck_id, idx, gram) rows meet the grams, cut out of the texts once; texts come back for the few candidates.
     """
     terms = terms.withColumn("__term", F.xxhash64(*[c for c in terms.columns]))
     sizes = sorted(r[0] for r in terms.select(F.least(F.length("n"), F.lit(GRAM)).alias("s")).distinct().collect())
     own = terms.select("__term", "n", F.explode(F.array_distinct(F.coalesce(*[
         F.when(F.least(F.length("n"), F.lit(GRAM)) == k, T.char_grams(F.col("n"), k)) for k in sizes
     ], F.array().cast("array<string>")))).alias("gram"))
-    held = rows.select("deck_id", "idx", F.explode(_grams(F.col(text), sizes)).alias("gram"))
-    asked = own.select("gram").distinct()
-    heat = held.join(asked, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    asked = cut(own.select("gram").distinct())
+    held = cut(rows.select("deck_id", "idx", F.explode(_grams(F.col(text), sizes)).alias("gram")).join(asked, "gram", "left_semi"))
+    heat = held.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
     rarest = own.join(heat, "gram", "left").groupBy("__term").agg(
         F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g")
     ).filter("g.c > 0").select("__term", F.col("g.gram").alias("gram"))

@@ -115,11 +115,26 @@ class _Steps:
         return dict(zip(idx, text))
 
 
-_WAITING = "seq long, action string, expected long, idx array<long>, text array<string>, base array<string>"
+_WAITING = (
+    "ops array<struct<seq:bigint,action:string,expected:bigint,idx:array<bigint>,text:array<string>,base:array<string>>>"
+)
+#: Stands for "no operation before": map state takes no null key.
+_NONE = -(1 << 63)
+
+
+def _refused(draft: Draft, session: int, seq: int, action: str) -> dict:
+    return {
+        "session_id": session, "seq": seq, "action": action, "accepted": False, "revision": draft.revision,
+        "dirty": draft.revision != draft.committed, "changes": [],
+    }
 
 
 class ReplayProcessor(StatefulProcessor):
-    """Edit log of one session. Operations wait until the one they follow has been applied, however late it comes."""
+    """Edit log of one session. Operations wait until the one they follow has been applied, however late it comes.
+
+    Each link of the chain is taken by one operation, the one with the smallest ``seq`` that is there when its turn comes. Others
+    that name the same predecessor are answered as not accepted and change nothing, at once or whenever they come.
+    """
 
     def __init__(self, ttl_ms: int | None) -> None:
         self._ttl = ttl_ms
@@ -128,25 +143,35 @@ class ReplayProcessor(StatefulProcessor):
         self._texts = handle.getMapState("texts", "idx long", "text string", self._ttl)
         self._steps = handle.getMapState("steps", "height int", "idx array<long>, text array<string>", self._ttl)
         self._waiting = handle.getMapState("waiting", "prior long", _WAITING, self._ttl)
+        self._passed = handle.getMapState("passed", "prior long", "seq long", self._ttl)
         self._head = handle.getValueState("head", "revision int, committed int, height int, last long", self._ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        draft, height, last = Draft(), 0, 0
+        draft, height, last = Draft(), 0, _NONE
         if self._head.exists():
             draft.revision, draft.committed, height, last = self._head.get()
         draft.texts, draft.stack = _Texts(self._texts), _Steps(self._steps, height)
+        out = []
         for frame in rows:
             for r in frame.itertuples(index=False):
                 edits = [(int(e["idx"]), e["text"], e["base"]) for e in r.edits]
-                self._waiting.updateValue((int(r.prior),), (
-                    int(r.seq), r.action, int(r.expected_revision), *([e[k] for e in edits] for k in range(3))
-                ))
-        out = []
+                op = (int(r.seq), r.action, int(r.expected_revision), *([e[k] for e in edits] for k in range(3)))
+                prior = _NONE if pd.isna(r.prior) else int(r.prior)
+                if self._passed.containsKey((prior,)):
+                    if self._passed.getValue((prior,))[0] != op[0]:  # a repeated delivery has had its answer
+                        out.append(_refused(draft, key[0], op[0], op[1]))
+                    continue
+                there = [tuple(w) for w in self._waiting.getValue((prior,))[0]] if self._waiting.containsKey((prior,)) else []
+                if op[0] not in [w[0] for w in there]:
+                    self._waiting.updateValue((prior,), ([*there, op],))
         while self._waiting.containsKey((last,)):
-            seq, action, expected, *parts = self._waiting.getValue((last,))
+            ops = sorted((tuple(w) for w in self._waiting.getValue((last,))[0]), key=lambda w: w[0])
             self._waiting.removeKey((last,))
+            seq, action, expected, *parts = ops[0]
             edits = [{"idx": i, "text": t, "base": b} for i, t, b in zip(*parts)]
             out.append(_outcome(draft, key[0], seq, action, expected, edits))
+            out.extend(_refused(draft, key[0], w[0], w[1]) for w in ops[1:])
+            self._passed.updateValue((last,), (seq,))
             last = seq
         self._head.update((draft.revision, draft.committed, draft.stack.height, last))
         if out:
@@ -159,7 +184,7 @@ class ReplayProcessor(StatefulProcessor):
 def replay_stream(operations: DataFrame, *, ttl_ms: int | None = None) -> DataFrame:
     """Outcomes of ``replay_edit_log`` for operations that arrive in any order, over any number of micro-batches.
 
-    ``prior`` is the ``seq`` of the session's previous operation (0 for its first). With ``ttl_ms``, sessions idle
+    ``prior`` is the ``seq`` of the session's previous operation (null for its first). With ``ttl_ms``, sessions idle
     for so long lose their state (for streams that run on: it needs processing time).
     """
     return operations.groupBy("session_id").transformWithStateInPandas(
