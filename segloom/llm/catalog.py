@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import bitplanes, ctw, curriculum, decontaminate, histogram_sort, jaccard_join, quality, repeats, surrogates, winnowing
+from segloom.llm import (
+    bitplanes, ctw, curriculum, decontaminate, histogram_sort, impact_search, jaccard_join, periodic_runs, quality, rank_order, repeats,
+    surrogates, winnowing,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,3 +186,75 @@ def op10_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS words FROM documents),
+l AS (SELECT row, doc_id, words, len(words)::BIGINT AS n FROM d WHERE len(words) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM l),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (
+  SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(words) AS term FROM l)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+s AS (
+  SELECT q.item_id, p.row, p.doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+         * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@_query("op11_norm_buckets", SEARCH_SQL)
+def op11_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_minimizer_runs")
+def op12_minimizer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic_runs.looped("text", "doc_id").alias("text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.strongest("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    sha256 = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        sha256(F.array_join(lines, "")).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, e: CASE WHEN e < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, e) END)"""
+LANGUAGE_SQL = f"""
+WITH h AS (SELECT row_number() OVER () AS row, doc_id, text, lang, (4294967295 - {_CRC}) % 3 = 1 AS held_out FROM documents),
+t AS (
+  SELECT row, lang, held_out, list_transform(
+    string_split(' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' ', ''), lambda x: ord(x)::BIGINT) AS c
+  FROM h WHERE regexp_matches(text, '\\p{{L}}')),
+g AS (
+  SELECT row, lang, held_out, unnest(list_filter(c, lambda x: x <> 32) || list_transform(range(1, len(c)), lambda i: c[i] * 2097152 + c[i + 1])
+    || list_transform(range(1, len(c) - 1), lambda i: (c[i] * 2097152 + c[i + 1]) * 2097152 + c[i + 2])) AS gram FROM t),
+n AS (SELECT row, lang, held_out, gram, count(*) AS n FROM g GROUP BY ALL),
+p AS (
+  SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS rank
+  FROM n WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram QUALIFY rank < {rank_order.PROFILE}),
+d AS (SELECT row, gram, row_number() OVER (PARTITION BY row ORDER BY n DESC, gram) - 1 AS rank FROM n QUALIFY rank < {rank_order.DOCUMENT}),
+m AS (SELECT row, count(*) AS m FROM d GROUP BY row),
+o AS (
+  SELECT d.row, p.lang, sum(least(abs(d.rank - p.rank), {rank_order.PROFILE}) - {rank_order.PROFILE}) AS near FROM d JOIN p USING (gram) GROUP BY ALL),
+a AS (
+  SELECT m.row, l.lang, ({rank_order.PROFILE} * m + coalesce(near, 0))::BIGINT AS apart, {rank_order.PROFILE} * m AS most
+  FROM m, (SELECT DISTINCT lang FROM p) l LEFT JOIN o ON o.row = m.row AND o.lang = l.lang),
+b AS (SELECT row, arg_min(lang, (apart, lang)) AS lang, 1.0::DOUBLE - min(apart)::DOUBLE / any_value(most)::DOUBLE AS score FROM a GROUP BY row)
+SELECT doc_id, held_out, coalesce(b.lang, '{rank_order.UNKNOWN}') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM h LEFT JOIN b USING (row)"""
+
+
+@_query("op13_rank_order", LANGUAGE_SQL)
+def op13_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", rank_order.held_out("doc_id").alias("held_out"))
+    profiles = rank_order.language_profiles(docs.filter("not held_out"))
+    return rank_order.predict_languages(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
