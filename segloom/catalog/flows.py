@@ -87,7 +87,7 @@ _SHAPES = _SHAPES.replace(
 
 @query("reading_order", f"WITH {_SHAPES} SELECT deck_id, slide_index, shape_id, reading_pos FROM so", "segments")
 def _order(spark, d):
-    return E.reading_order(slide_shapes(spark, d)[0], max_depth=1).select("deck_id", "slide_index", "shape_id", "reading_pos")
+    return E.reading_order(slide_shapes(spark, d)[0]).select("deck_id", "slide_index", "shape_id", "reading_pos")
 
 
 _TITLES = f"""{_SHAPES},
@@ -103,7 +103,7 @@ rest AS (SELECT fl.* FROM fl JOIN titles USING (deck_id, slide_index) WHERE titl
 
 def _titles(spark, d):
     shapes, lines = slide_shapes(spark, d)
-    return E.slide_title(E.reading_order(shapes, max_depth=1), lines)
+    return E.slide_title(E.reading_order(shapes), lines)
 
 
 @query("slide_title", f"WITH {_TITLES} SELECT * FROM titles", "segments")
@@ -522,15 +522,28 @@ def _samples(spark, d):
     return G.deck_samples(X.segments(spark, d))
 
 
-@query("detect_language", f"""
+def _detect_sql(sm: str, text: str) -> str:
+    return f"""
 WITH {_PROFILE},
-sm AS (SELECT deck_id, substr(trim(coalesce(string_agg(original_text, chr(10) ORDER BY idx) FILTER (NOT is_note), '')), 1, 500) AS sample FROM segments WHERE idx < 50 GROUP BY deck_id),
-ct AS (SELECT deck_id, gram, count(*) AS c FROM ({_grams_sql('deck_id', 'sample', 'sm')}) GROUP BY ALL),
+sm AS ({sm}),
+ct AS (SELECT deck_id, gram, count(*) AS c FROM ({_grams_sql('deck_id', text, 'sm')}) GROUP BY ALL),
 den AS (SELECT lang, sum(n) + (SELECT count(DISTINCT gram) FROM prof) AS den FROM prof GROUP BY ALL),
 sc AS (SELECT deck_id, lang, sum(c * ln(coalesce(n, 0) + 1)) - sum(c) * ln(any_value(den)) AS s FROM ct CROSS JOIN den LEFT JOIN prof USING (lang, gram) GROUP BY ALL)
-SELECT deck_id, coalesce(CASE arg_max(lang, s) WHEN 'en' THEN '영어' WHEN 'fr' THEN '프랑스어' WHEN 'de' THEN '독일어' WHEN 'es' THEN '스페인어' END, '영어') AS language FROM sm LEFT JOIN sc USING (deck_id) GROUP BY deck_id""", "segments")
+SELECT deck_id, coalesce(CASE arg_max(lang, s) WHEN 'en' THEN '영어' WHEN 'fr' THEN '프랑스어' WHEN 'de' THEN '독일어' WHEN 'es' THEN '스페인어' END, '영어') AS language
+FROM (SELECT DISTINCT deck_id FROM segments) LEFT JOIN sc USING (deck_id) GROUP BY deck_id"""
+
+
+@query("detect_language_sample", _detect_sql(
+    "SELECT deck_id, substr(trim(coalesce(string_agg(original_text, chr(10) ORDER BY idx) FILTER (NOT is_note), '')), 1, 500) AS sample FROM segments WHERE idx < 50 GROUP BY deck_id",
+    "sample"), "segments")
+def _detect_sample(spark, d):
+    return G.detect_language(G.deck_samples(X.segments(spark, d)), G.language_profile(X.table(spark, d, "documents")), text="sample")
+
+
+@query("detect_language", _detect_sql("SELECT deck_id, idx, original_text FROM segments WHERE NOT is_note", "original_text"), "segments")
 def _detect(spark, d):
-    return G.detect_language(X.segments(spark, d), G.language_profile(X.table(spark, d, "documents")))
+    """By all texts of each deck."""
+    return G.detect_language(X.segments(spark, d).filter("not is_note"), G.language_profile(X.table(spark, d, "documents")), decks=X.segments(spark, d))
 
 
 @query("check_untranslated_detected")

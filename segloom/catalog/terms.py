@@ -40,7 +40,7 @@ def _violations(spark, d):
     return G.dedupe_glossary(X.lexicon(spark, d))[1]
 
 
-_OLD, _NEW = "glossary_id IN ('g0', 'g1', 'g2')", "glossary_id IN ('g2', 'g3', 'g4')"
+_OLD, _NEW = "glossary_id IN ('g0', 'g1', 'g2', 'g3')", "glossary_id IN ('g3', 'g4', 'g5', 'g6')"
 _UPSERT = f"""
 u AS (SELECT *, {_KEY} AS k, 0 AS side FROM lexicon WHERE {_OLD} UNION ALL SELECT *, {_KEY} AS k, 1 AS side FROM lexicon WHERE {_NEW}),
 m AS (SELECT k, arg_max(source, side * 1000000000000000 + pos) AS source, arg_max(target, side * 1000000000000000 + pos) AS target,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segloom.functions import text as T
+from segloom.plans.cut import cut
 
 _SLIDE = ["deck_id", "slide_index"]
 _MARK, _SEP = "\x01", "\x02"
@@ -53,12 +54,12 @@ def blocks_from_pages(pages: DataFrame, id_col: str = "page_id", html_col: str =
     )
 
 
-def reading_order(shapes: DataFrame, max_depth: int = 8) -> DataFrame:
+def reading_order(shapes: DataFrame) -> DataFrame:
     """Visual order per slide: top, then left, unplaced shapes last, drawing order on ties.
 
     ``shapes``: ``shape_id, top, left, z`` and optionally ``parent_id`` for members of a group; a
-    group stands where its own box is and its members are ordered inside it. Groups themselves
-    are not returned.
+    group stands where its own box is and its members are ordered inside it, at any depth. Groups themselves
+    are not returned. A parent that the slide does not have, or that closes a ring, counts as none.
     """
     own = F.struct(
         F.col("top").isNull().alias("a"), F.coalesce("top", F.lit(0)).alias("b"),
@@ -66,18 +67,35 @@ def reading_order(shapes: DataFrame, max_depth: int = 8) -> DataFrame:
     )
     placed = shapes.withColumn("__path", F.array(own))
     if "parent_id" in shapes.columns:
-        up = shapes.select(*_SLIDE, F.col("shape_id").alias("__up"), own.alias("__own"), F.col("parent_id").alias("__next"))
         members = shapes.filter("parent_id is not null").select(*_SLIDE, F.col("parent_id").alias("shape_id")).distinct()
-        placed = placed.join(members, [*_SLIDE, "shape_id"], "left_anti").withColumn("__up", F.col("parent_id"))
-        for _ in range(max_depth):
-            placed = placed.join(up, [*_SLIDE, "__up"], "left").withColumn(
-                "__path", F.when(F.col("__own").isNull(), F.col("__path")).otherwise(F.concat(F.array("__own"), "__path"))
-            ).drop("__own", "__up").withColumnRenamed("__next", "__up")
-        placed = placed.drop("__up")
+        paths = _paths_from_top(shapes.select(*_SLIDE, "shape_id", "parent_id", F.array(own).alias("__path")))
+        placed = shapes.join(members, [*_SLIDE, "shape_id"], "left_anti").join(paths, [*_SLIDE, "shape_id"])
     by_slide = Window.partitionBy(*_SLIDE).orderBy("__path")
     return placed.withColumn("reading_pos", F.row_number().over(by_slide) - 1).drop("__path")
 
 
+def _paths_from_top(links: DataFrame) -> DataFrame:
+    """``shape_id`` with the boxes from its outermost group down, by pointer doubling: each round doubles the levels climbed."""
+    known = links.select(*_SLIDE, F.col("shape_id").alias("parent_id")).distinct()
+    now = links.filter("parent_id is null").unionByName(
+        links.join(known, [*_SLIDE, "parent_id"], "left_semi")
+    ).unionByName(links.filter("parent_id is not null").join(known, [*_SLIDE, "parent_id"], "left_anti").withColumn("parent_id", F.lit(None)))
+    now = cut(now.select(*_SLIDE, "shape_id", "parent_id", "__path"))
+    single, climbed = now, 1
+    while not (open_ := now.filter("parent_id is not null")).isEmpty():
+        if climbed > (open_.groupBy(*_SLIDE).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]):
+            # more levels than shapes: what is still open hangs in a ring
+            rings = open_.select(*_SLIDE, "shape_id").join(single.drop("parent_id"), [*_SLIDE, "shape_id"])
+            return now.filter("parent_id is null").drop("parent_id").unionByName(rings)
+        up = now.select(*_SLIDE, F.col("shape_id").alias("parent_id"), F.col("parent_id").alias("__next"), F.col("__path").alias("__above"))
+        now = cut(now.join(up, [*_SLIDE, "parent_id"], "left").select(
+            *_SLIDE, "shape_id", F.col("__next").alias("parent_id"),
+            F.when(F.col("__above").isNull(), F.col("__path")).otherwise(F.concat("__above", "__path")).alias("__path"),
+        ))
+        climbed *= 2
+    return now.drop("parent_id")
+
+
 def slide_title(shapes: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Title per slide and the lines that remain for its body.
 

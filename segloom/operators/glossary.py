@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from segloom.functions import text as T
 from segloom.functions import values as V
-from segloom.plans.bounded import bounded_rows
+from segloom.operators.sweep import holders
+from segloom.plans.cut import cut
 
 
 def _keyed(entries: DataFrame) -> DataFrame:
@@ -153,27 +154,24 @@ def duplicate_terms(glossary: DataFrame) -> DataFrame:
     return _keyed(glossary).groupBy("term_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def glossary_constant(glossary: DataFrame, max_terms: int = V.MAX_GLOSSARY_ENTRIES) -> list[dict] | None:
-    """Entries in place order as driver values if they are within the entry limit, else None."""
-    rows = bounded_rows(glossary.select("pos", "source", "target"), max_terms)
-    return None if rows is None else [r.asDict() for r in sorted(rows, key=lambda r: r["pos"])]
-
-
 def glossary_hits_first(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """All terms for each segment, those that occur in it first, otherwise in glossary order."""
-    terms = glossary_constant(glossary)
-    if terms is None:
-        raise ValueError(f"active glossaries may hold at most {V.MAX_GLOSSARY_ENTRIES} terms")
-    constant = F.lit([t["source"] for t in terms])
-
-    def split(v: Column) -> Column:
-        def occurs(t: Column) -> Column:
-            return F.contains(v, F.lower(t))
-
-        return F.struct(
-            F.filter(constant, occurs).alias("hits"), F.filter(constant, lambda t: ~occurs(t)).alias("others")
-        )
-
-    return segments.select("deck_id", "idx", T.let(F.lower("original_text"), split).alias("s")).select(
-        "deck_id", "idx", "s.hits", "s.others", F.concat("s.hits", "s.others").alias("terms")
+    """All terms for each segment, those that occur in it first, otherwise in glossary order.
+
+    The hits of a segment come from the substring search of the sweep, which takes any glossary; the whole list is one row.
+    """
+    terms = cut(glossary.select(F.col("pos").cast("long").alias("pos"), "source").filter("source is not null"))
+    found = holders(
+        segments.select("deck_id", "idx", F.lower("original_text").alias("__lower")), "__lower",
+        terms.select(F.lower("source").alias("n"), "pos", "source").filter("n <> ''"),
+    )
+    entry = F.struct("pos", "source")
+    hits = found.groupBy("deck_id", "idx").agg(F.array_sort(F.collect_list(F.struct("__t.pos", "__t.source"))).alias("h"))
+    everything = terms.groupBy(F.lit(0).alias("__one")).agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    listed = segments.select("deck_id", "idx", F.lit(0).alias("__one")).join(hits, ["deck_id", "idx"], "left").join(everything, "__one", "left")
+    none = F.array().cast("array<struct<pos:bigint,source:string>>")
+    split = listed.select("deck_id", "idx", F.coalesce("h", none).alias("h"), F.coalesce("all", none).alias("all"))
+    others = F.array_except("all", "h")
+    return split.select(
+        "deck_id", "idx", F.col("h.source").alias("hits"), others["source"].alias("others"),
+        F.concat(F.col("h.source"), others["source"]).alias("terms"),
     )

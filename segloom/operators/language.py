@@ -62,10 +62,13 @@ def detect_code(texts: DataFrame, profile: DataFrame, keys: list[str], text: str
     return scored.groupBy(*keys).agg(F.max_by("lang", F.struct(F.round("score", 6), "lang")).alias("code"))
 
 
-def detect_language(segments: DataFrame, profile: DataFrame) -> DataFrame:
-    """Display language of each deck; a blank sample falls back to the default."""
-    samples = deck_samples(segments)
-    codes = detect_code(samples, profile, ["deck_id"], "sample")
-    return samples.select("deck_id").join(codes, "deck_id", "left").select(
+def detect_language(texts: DataFrame, profile: DataFrame, *, text: str = "original_text", decks: DataFrame | None = None) -> DataFrame:
+    """Display language of each deck by all its ``texts``; one without letters falls back to the default.
+
+    Grams are counted where the texts are and summed per deck, so no deck is ever one text. ``deck_samples`` gives the
+    short form that only looks at the opening. ``decks`` names decks that must have a row though they may have no text.
+    """
+    codes = detect_code(texts, profile, ["deck_id"], text)
+    return (texts if decks is None else decks).select("deck_id").distinct().join(codes, "deck_id", "left").select(
         "deck_id", F.coalesce(T.map_lang_code("code"), F.lit(V.DEFAULT_LANGUAGE)).alias("language")
     )

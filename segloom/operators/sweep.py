@@ -91,7 +91,7 @@ def _grams(c: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *[T.char_grams(c, n) for n in sizes]))
 
 
-def _holders(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+def holders(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """``rows`` joined with every term (struct ``__t`` with ``n`` and any further columns) whose ``n`` is a substring of ``text``.
 
     A glossary that can be carried is looked up where the texts are, in one pass and without moving any; beyond that
@@ -100,7 +100,7 @@ def _holders(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     written = cut(terms)
     listed = A.carried(written)
     if listed is None:
-        return _holders_by_gram(rows, text, written)
+        return holders_by_gram(rows, text, written)
     spark = rows.sparkSession
     shared = A.share(spark, [r["n"] for r in listed])
     numbered = spark.createDataFrame(
@@ -110,8 +110,8 @@ def _holders(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return found.join(F.broadcast(numbered), "__no").drop("__no")
 
 
-def _holders_by_gram(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """``_holders`` for any number and length of terms.
+def holders_by_gram(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """``holders`` for any number and length of terms.
 
     A term can only occur where all its character grams do, so each term is looked up by the one that fewest rows
     have. Only (deck_id, idx, gram) rows meet the grams, cut out of the texts once; texts come back for the few candidates.
@@ -134,7 +134,7 @@ def _holders_by_gram(rows: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 
 def term_violation_join(bitext: DataFrame, glossary: DataFrame) -> DataFrame:
     """Source holds a term (plain substring) but the target lacks its translation."""
-    found = _holders(_spoken(bitext), "src_n", _prepared_terms(glossary)).filter(~F.contains(F.col("tgt_n"), F.col("__t.tn")))
+    found = holders(_spoken(bitext), "src_n", _prepared_terms(glossary)).filter(~F.contains(F.col("tgt_n"), F.col("__t.tn")))
     return _finding(
         found.withColumn("__pos", F.col("__t.pos")), "terminology.violation", "major",
         F.format_string(V.TERM_MESSAGE, F.col("__t.source"), F.col("__t.target")), 1,
@@ -151,7 +151,7 @@ def locked_term_join(bitext: DataFrame, locked: DataFrame) -> DataFrame:
         F.col("pos").cast("long").alias("pos"), F.col("rule_id").cast("string").alias("source"),
         F.col("term").alias("target"), T.norm_text("term").alias("n"),
     ).filter("n <> ''")
-    near = _holders(_spoken(bitext), "tgt_n", terms).filter(~F.contains(F.col("target"), F.col("__t.target")))
+    near = holders(_spoken(bitext), "tgt_n", terms).filter(~F.contains(F.col("target"), F.col("__t.target")))
     # locked terms of a segment come after all its glossary terms
     return _finding(
         near.withColumn("__pos", F.col("__t.pos") + F.lit(1 << 40)), "terminology.violation", "major",

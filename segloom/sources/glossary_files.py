@@ -61,17 +61,16 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
 def write_glossary_csv(glossary: DataFrame, path: str) -> None:
     """Spreadsheet-safe CSV with BOM and all cells quoted; duplicate terms are refused.
 
-    The entry limit is checked first, so the single ordered output file stays small.
+    A glossary within the entry limit becomes one file. A larger one becomes ordered part files, written by as many tasks; the parts
+    in the order of their names are the file, and only the first has the header.
     """
-    if glossary.limit(V.MAX_GLOSSARY_ENTRIES + 1).count() > V.MAX_GLOSSARY_ENTRIES:
-        raise ValueError(f"a glossary may hold at most {V.MAX_GLOSSARY_ENTRIES} entries")
-    if duplicate_terms(glossary).limit(1).count():
+    if not duplicate_terms(glossary).isEmpty():
         raise ValueError("glossary has duplicate terms")
     lines = glossary_csv_lines(glossary)
-    header = glossary.sparkSession.createDataFrame(
-        [(-1, "\ufeff" + ",".join(V.EXPORT_HEADER))], "pos long, line string"
-    )
-    ordered = header.unionByName(lines).orderBy("pos").coalesce(1)
+    header = glossary.sparkSession.createDataFrame([(None, "\ufeff" + ",".join(V.EXPORT_HEADER))], "pos long, line string")
+    ordered = header.unionByName(lines).orderBy(F.col("pos").asc_nulls_first())
+    if glossary.limit(V.MAX_GLOSSARY_ENTRIES + 1).count() <= V.MAX_GLOSSARY_ENTRIES:
+        ordered = ordered.coalesce(1)
     ordered.select("line").write.option("lineSep", "\r\n").text(path)
 
 
