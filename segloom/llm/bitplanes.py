@@ -36,10 +36,10 @@ from segloom.plans.cut import shared_dir
 BLOCK = 8192
 CHUNK_IDS = 1 << 20
 END_ID = 2
-#: Words whose ids a Python worker keeps, and that the tokenizer gets at a time.
+#: Pieces whose ids a Python worker keeps in each of two generations, and that the tokenizer gets at a time.
 CACHED_WORDS = 300_000
-ENCODED_WORDS = 5_000
-BLOCK_BYTES = 2 << 20
+ENCODED_WORDS = 1_000
+BLOCK_BYTES = 4 << 20
 CHUNK_SCHEMA = (
     "part int, chunk int, start bigint, n_ids bigint, doc_ids array<bigint>, n_tokens array<int>, "
     "bits array<tinyint>, index array<int>, payload binary"
@@ -54,7 +54,9 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.end, self.known = end_id.to_bytes(self.width, "little"), {}
+        self.kind = np.uint16 if self.width == 2 else np.uint32
+        self.end = end_id.to_bytes(self.width, "little")
+        self.known, self.before = {}, {}
 
     def pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """Pieces of all texts in a row, and the number of the first piece of each text."""
@@ -70,22 +72,45 @@ class _Encoder:
         words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
         return words, np.searchsorted(first, bounds)
 
+    def encoded(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of pieces as bytes. Of the pieces kept, those not asked for since the last change of generations go."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.before = {}, self.known
+        known, before, new = self.known, self.before, []
+        out = list(map(known.get, distinct))
+        for i, found in enumerate(out):
+            if found is None:
+                found = out[i] = before.get(distinct[i])
+                if found is None:
+                    new.append(i)
+                else:
+                    known[distinct[i]] = found
+        for at in range(0, len(new), ENCODED_WORDS):
+            part = new[at : at + ENCODED_WORDS]
+            for i, ids in zip(part, self._together([distinct[i].decode() for i in part])):
+                out[i] = known[distinct[i]] = ids
+        return out
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece from one call: pieces are joined by spaces, and an id belongs to the piece in which its text begins."""
+        coded = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(p) + 1 for p in pieces)])
+        at = np.array([start for start, _ in coded.offsets], np.int64)
+        cuts = np.searchsorted(at, begins)
+        if np.any(at[1:] < at[:-1]):  # a tokenizer whose offsets do not follow the text
+            parts = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return [p.tobytes() for p in parts]
+        raw, width = np.array(coded.ids, self.kind).tobytes(), self.width
+        edges = (cuts * width).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
     def ids(self, texts: pa.Array) -> pa.Array:
         """Ids of each text with the end id, as little-endian bytes."""
         data, bounds = tokens.bytes_of(texts)
         words, starts = self.pieces(data, bounds)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in distinct if w not in self.known]
-        kind = np.uint16 if self.width == 2 else np.uint32
-        for at in range(0, len(new), ENCODED_WORDS):
-            part = new[at : at + ENCODED_WORDS]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                self.known[w] = np.array(e.ids, kind).tobytes()
-        table = pa.array([*(self.known[w] for w in distinct), self.end], pa.large_binary())
+        table = pa.array([*self.encoded(distinct), self.end], pa.large_binary())
         ends = starts[1:] + np.arange(len(texts))  # the end id follows the last piece of each text
         order = np.full(len(words) + len(texts), len(distinct), np.int64)
         order[np.delete(np.arange(len(order)), ends)] = coded.indices.to_numpy(zero_copy_only=False)
