@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segloom.catalog import fixtures as X
-from segloom.catalog.core import _PLAN, SWEEP_CTE, TERM_SQL, UNTRANSLATED_SQL, sweep
+from segloom.catalog.core import _PLAN, DIVERGENCE_CTE, DIVERGENCE_SQL, SWEEP_CTE, TERM_SQL, UNTRANSLATED_SQL, sweep
 from segloom.catalog.registry import query
 from segloom.catalog.styles import BUDGET_SQL, _STATUS, _status
 from segloom.catalog.terms import _merged
@@ -19,7 +19,9 @@ from segloom.operators import repetition as R
 from segloom.operators import review as V
 from segloom.plans.cut import cut
 from segloom.plans.ordering import running
+from segloom.sources.exactly_once import Ledger
 from segloom.streaming import jobs as Z
+from segloom.streaming import state as Y
 
 # extraction -------------------------------------------------------------------------------------
 
@@ -593,6 +595,88 @@ def _idle_stream(spark, d):
     return out.select("job_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events", "ended")
 
 
+@query("expire_idle_stream", f"""
+WITH {_JS} SELECT job_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_activity FROM je GROUP BY ALL
+HAVING bool_or(kind IN ('complete', 'error', 'cancelled')) AND max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM je)""", "job_events")
+def _expire_stream(spark, d):
+    """Timers reap ended jobs when event time has passed their idle gap."""
+    out = Z.run_available(Y.expire_idle_stream(_event_stream(spark, d)))
+    return out.select("job_id", F.date_format("last_activity", "yyyy-MM-dd HH:mm:ss").alias("last_activity"))
+
+
+@query("latest_progress_stream", f"""
+WITH {_JS} SELECT job_id, max(event_id) AS event_id, CAST(arg_max(value, event_id) AS DOUBLE) AS value FROM je JOIN js USING (job_id)
+WHERE kind = 'progress' AND (endid IS NULL OR event_id < endid) GROUP BY ALL""", "job_events")
+def _latest_stream(spark, d):
+    changes = Z.run_available(Y.progress_stream(_event_stream(spark, d)), "update")
+    newest = changes.groupBy("job_id").agg(F.max_by(F.struct("event_id", "value"), "batch_id").alias("s"))
+    return newest.select("job_id", "s.*").filter("event_id is not null")
+
+
+def _in_files(spark, df, n, *by):
+    """``df`` arriving a file at a time, in no order."""
+    written = cut(df.repartition(n, F.xxhash64(*by)))
+    Z.use_rocksdb(spark)
+    return spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 1).parquet(written.inputFiles()[0].rsplit("/", 1)[0])
+
+
+@query("dismissal_stream", f"WITH {_ACTS} SELECT session_id, idx FROM a GROUP BY ALL HAVING arg_max(action, seq) = 'dismiss'", "review_log")
+def _dismissal_stream(spark, d):
+    """Dismissals and restores that arrive out of order."""
+    changes = Z.run_available(Y.dismissal_stream(_in_files(spark, X.review_log(spark, d), 3, "session_id", "seq")), "update")
+    newest = changes.groupBy("session_id", "idx").agg(F.max_by("action", "batch_id").alias("action"))
+    return newest.filter("action = 'dismiss'").select("session_id", "idx")
+
+
+@query("divergence_stream", f"""
+WITH {DIVERGENCE_CTE} SELECT deck_id, idx, description FROM ({DIVERGENCE_SQL})""", "normed")
+def _divergence_stream(spark, d):
+    """Segments arrive out of order; findings are made and withdrawn, and what stands is the sweep's."""
+    changes = Z.run_available(Y.divergence_stream(_in_files(spark, X.bitext(spark, d), 3, "deck_id", "idx")))
+    return Y.net(changes).select("deck_id", "idx", "description")
+
+
+@query("sweep_after_glossary_change", f"SELECT deck_id, idx, suggested_fix, term_source FROM ({TERM_SQL})", "normed glossary")
+def _after_change(spark, d):
+    """The glossary is built up in three upserts while segments arrive; stored findings follow without a full sweep."""
+    from segloom.operators import sweep as W
+
+    b, terms = cut(X.bitext(spark, d)), cut(X.glossary(spark))
+    states = [
+        (b.filter("idx % 3 = 0"), terms.filter("pos < 5").withColumn("target", F.concat("target", F.lit("?")))),
+        (b.filter("idx % 3 = 1"), terms.filter("pos < 8").withColumn("target", F.when(F.col("pos") == 2, "x").otherwise(F.col("target")))),
+        (b.filter("idx % 3 = 2"), terms),
+    ]
+    there, now = states[0]
+    found = cut(W.term_violation_join(there, now))
+    for arrived, after in states[1:]:
+        found = cut(Y.refresh_terminology(found, there, arrived, now, after))
+        there, now = there.unionByName(arrived), after
+    return found.select("deck_id", "idx", "suggested_fix", "term_source")
+
+
+@query("ledger_exactly_once", """
+SELECT 'qr_' || substr(sha256(session_id || '|' || seq), 1, 16) AS id, seq, CASE WHEN action = 'edit' THEN 'accepted' ELSE 'rejected' END AS disposition
+FROM review_log WHERE action IN ('edit', 'dismiss')""", "review_log")
+def _exactly_once(spark, d):
+    """Every micro-batch is written, and written again as after a failure; the ledger has one row per id."""
+    import uuid
+
+    from segloom.plans.cut import shared_dir
+
+    base = f"{shared_dir(spark)}/segloom/{uuid.uuid4().hex}"
+    ledger = Ledger(spark, f"{base}/ledger")
+    records = Z.quality_stream(_in_files(spark, X.review_log(spark, d), 3, "session_id", "seq"), late="3650 days")
+
+    def twice(batch, number):
+        ledger.append(batch, f"review-{number}")
+        ledger.append(batch, f"review-{number}")
+
+    writer = records.writeStream.option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
+    writer.foreachBatch(twice).start().awaitTermination()
+    return ledger.read(records.schema).select("id", "seq", "disposition")
+
+
 @query("incremental_sweep", f"""
 SELECT deck_id, idx, type, suggested_fix, term_source FROM ({TERM_SQL} UNION ALL {UNTRANSLATED_SQL})""", "normed glossary")
 def _incremental(spark, d):

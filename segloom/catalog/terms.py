@@ -221,6 +221,23 @@ def _usage(spark, d):
     return M.term_usage(M.glossary_match(X.segments(spark, d), _merged(spark)))
 
 
+@query("term_usage_sketch", f"""
+WITH {MATCH_CTE}, u AS (SELECT lower(surface) AS term, target, deck_id, idx FROM mt)
+SELECT term, target, count(*)::BIGINT AS occurrences, count(DISTINCT deck_id) AS decks, grouping(term, target) AS level, true AS within_3_percent
+FROM u GROUP BY ROLLUP (term, target)""", "segments")
+def _usage_sketch(spark, d):
+    """Stored sketches of each deck merged to every level, next to exact counts."""
+    matches = cut(M.glossary_match(X.segments(spark, d), _merged(spark)))
+    merged = M.merged_usage(cut(M.usage_sketches(matches)))
+    exact = matches.withColumn("term", F.lower("surface")).rollup("term", "target").agg(
+        F.count_distinct(F.struct("deck_id", "idx")).alias("exact"), F.grouping_id().alias("level")
+    ).select(F.col("term").alias("t"), F.col("target").alias("g"), F.col("level").alias("l"), "exact")
+    near = F.abs(F.col("segments") - F.col("exact")) <= 0.03 * F.col("exact")
+    return merged.join(exact, F.col("term").eqNullSafe(F.col("t")) & F.col("target").eqNullSafe(F.col("g")) & (F.col("level") == F.col("l"))).select(
+        "term", "target", "occurrences", "decks", F.col("level").cast("long").alias("level"), near.alias("within_3_percent")
+    )
+
+
 @query("glossary_hits_first", """
 SELECT deck_id, idx, string_agg(source, '|' ORDER BY CASE WHEN contains(lower(original_text), lower(source)) THEN 0 ELSE 1 END, pos) AS terms,
   count(*) FILTER (contains(lower(original_text), lower(source))) AS hits

@@ -178,3 +178,21 @@ def term_usage(matches: DataFrame, *, approx: bool = False) -> DataFrame:
     if approx:
         aggs.append(F.approx_count_distinct(F.xxhash64("deck_id", "idx")).alias("segments_approx"))
     return matches.groupBy(F.lower("surface").alias("term"), "target").agg(*aggs)
+
+
+SKETCH_BITS = 14
+
+
+def usage_sketches(matches: DataFrame) -> DataFrame:
+    """Per term and deck (a run): occurrences, and a sketch of the segments they are in. Sketches are stored and merged, never recounted."""
+    return matches.groupBy(F.lower("surface").alias("term"), "target", "deck_id").agg(
+        F.sum("n").alias("occurrences"), F.hll_sketch_agg(F.xxhash64("deck_id", "idx"), SKETCH_BITS).alias("segments")
+    )
+
+
+def merged_usage(sketches: DataFrame) -> DataFrame:
+    """Usage at every level: term and target, term, all (nulls mark totals), from stored sketches alone."""
+    return sketches.rollup("term", "target").agg(
+        F.sum("occurrences").alias("occurrences"), F.hll_union_agg("segments").alias("segments"), F.count_distinct("deck_id").alias("decks"),
+        F.grouping_id().alias("level"),
+    ).withColumn("segments", F.hll_sketch_estimate("segments"))
