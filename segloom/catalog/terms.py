@@ -8,7 +8,7 @@ from segloom.catalog import fixtures as X
 from segloom.catalog.registry import query
 from segloom.operators import glossary as G
 from segloom.operators import matching as M
-from segloom.plans.cut import shared_dir
+from segloom.plans.cut import cut, shared_dir
 from segloom.sources import glossary_files as S
 
 _KEY = "replace(lower(trim(source)), 'ß', 'ss')"
