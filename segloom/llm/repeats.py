@@ -140,7 +140,7 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int, bit
         with pa.ipc.new_stream(sink, _DOCS) as out:
             out.write_batch(docs)
         key = task << 32 | number
-        rows = [[-1 - (key % (1 << 30)), key, _squeeze(data.tobytes()), None, sink.getvalue().to_pybytes()]]
+        rows = [[tokens.head_group(task, number), key, _squeeze(data.tobytes()), None, sink.getvalue().to_pybytes()]]
         h, counts = np.unique(Anchors(data, bounds, length, gram).hash, return_counts=True)
         cuts = _cuts(h, bits)
         for f in range(1 << bits):

@@ -114,6 +114,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def head_group(task: int, number: int) -> int:
+    """Negative group of a block's head row: as many groups as blocks, spread over all tasks."""
+    return -1 - int(mixed(np.array([task << 32 | number], np.uint64))[0] >> np.uint64(33))
+
+
 def hashed(words: pa.Array) -> np.ndarray:
     """64-bit hash of each byte string of a (distinct) list."""
     import xxhash

@@ -263,3 +263,11 @@ def test_grams_of_long_texts_piece_by_piece(monkeypatch, piece):
     whole = {int(c): int(n) for c, n in zip(*rank_order.gram_counts(text))}
     monkeypatch.setattr(rank_order, "PIECE", piece)
     assert {int(c): int(n) for c, n in zip(*rank_order.gram_counts(text)) if n} == whole
+
+
+def test_head_rows_spread_over_groups():
+    from segloom.llm import tokens
+
+    groups = {tokens.head_group(task, number) for task in range(200) for number in range(20)}
+    assert len(groups) == 4000 and max(groups) < 0 and min(groups) >= -(1 << 31)
+    assert len({g % 32 for g in groups if g}) == 32
