@@ -131,20 +131,19 @@ def histogram_sort(
     docs: DataFrame, shards: int = 8, *, text: str = "text", doc: str = "doc_id",
     probes: int = PROBES, tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """Narrow table ``doc, size, text_crc32, shard, slot`` of all rows; see the module for the order.
+    """``doc, size, text_crc32, shard, slot`` of all rows, as they stand in the exchanged table; see the module for the order.
 
-    Slots are gapless from 0 in each shard. They come from counts per range of the order, so no task
-    holds a shard.
+    Borders come from a narrow table of sizes; then whole rows move once. Slots are gapless from 0 in each shard. They come
+    from counts per range of the order, so no task holds a shard.
     """
-    narrow = cut(
-        keyed(docs.select(doc, text), text, doc).select(
-            F.col(doc), text_bytes(F.col(text)).alias("size"),
-            F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), *KEYS,
-        )
-    )
+    narrow = cut(keyed(docs.select(doc, text), text, doc).select(text_bytes(F.col(text)).alias("size"), *KEYS))
     borders = splitters(narrow, shards, "size", probes=probes, tolerance=tolerance)
-    shard = sum((_from(at).cast("int") for at in borders), F.lit(0))
-    placed = narrow.withColumn("shard", shard)
+    parts = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    moved = cut(exchange(docs.select(doc, text), borders, parts=parts, text=text, doc=doc))
+    placed = keyed(moved, text, doc).select(
+        F.col(doc), text_bytes(F.col(text)).alias("size"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), "shard", *KEYS,
+    )
     bits = max(0, 62 - max(0, (narrow.count() >> 12).bit_length()))  # about 4096 hashes in a range
     texts = placed.groupBy("shard", KEYS[0]).agg(F.count(F.lit(1)).alias("__n"))
     before = running(texts, ["shard"], KEYS[0], {"__before": ("sum", F.col("__n"))}, exclusive=True, bits=bits)
@@ -165,6 +164,6 @@ def exchange(docs: DataFrame, borders: list[tuple[int, ...]], *, parts: int, tex
     piece = F.floor(F.col(KEYS[0]) / F.lit(-(-(2**62) // parts))).cast("int")
     return (
         keyed(docs, text, doc).withColumn("shard", shard)
-        .repartition(parts * (len(borders) + 1), "shard", piece, F.pmod(F.xxhash64(doc), F.lit(4)))
+        .repartition(parts * (len(borders) + 1), "shard", piece, F.pmod(F.xxhash64(doc), F.lit(parts)))
         .sortWithinPartitions("shard", *KEYS).drop(*KEYS)
     )
