@@ -419,20 +419,27 @@ def test_planes_round_trip():
 
 # ---- 8 ---------------------------------------------------------------------------------------------------
 
-def plain_runs(texts, window):
+def plain_runs(texts, window, long_line=20):
     blank = " \t\n\x0b\f\r"
-    parsed, first = {}, {}
+    parsed, first, single = {}, {}, {}
+
+    def alone(lines):
+        return [s for s, (_, x) in enumerate(lines) if len(spaced(x)) >= long_line or len(lines) == 1]
+
     for d, t in sorted(texts):
         lines = [(i, x.strip(blank)) for i, x in enumerate((t or "").split("\n")) if x.strip(blank)]
         parsed[d] = lines
         for s in range(len(lines) - window + 1):
             first.setdefault(tuple(x for _, x in lines[s : s + window]), (d, s))
+        for s in alone(lines):
+            single.setdefault(lines[s][1], (d, s))
     out = {}
     for d, t in texts:
         lines, gone = parsed[d], set()
         for s in range(len(lines) - window + 1):
             if first[tuple(x for _, x in lines[s : s + window])] < (d, s):
                 gone |= {i for i, _ in lines[s : s + window]}
+        gone |= {lines[s][0] for s in alone(lines) if single[lines[s][1]] < (d, s)}
         out[d] = (len(gone), "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone))
     return out
 
@@ -449,6 +456,17 @@ def test_winnowing(spark, odd, none, window):
     assert winnowing.dedup_lines(none, window=window).count() == 0
 
 
+def test_lone_long_lines_and_one_line_copies_go(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = [
+        (1, f"x\n{long}\ny"), (2, f"p\n {long}\nq"), (3, "only line"), (4, "only line"), (5, long), (6, f"a\nonly line\nb"), (7, f"{long}\n{long}"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_removed", F.lit("caller's"))
+    got = {r.doc_id: (r.n_removed, r.text) for r in winnowing.dedup_lines(df).collect()}
+    assert got == plain_runs(texts, 2)
+    assert got[2] == (1, "p\nq") and got[4] == (1, "") and got[5] == (1, "") and got[6][0] == 0 and got[7][0] == 2
+
+
 # ---- 9 ---------------------------------------------------------------------------------------------------
 
 def plain_ctw(train, texts, depth):
