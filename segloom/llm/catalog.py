@@ -131,19 +131,33 @@ f AS (
 l AS (SELECT *, (150 * total - 200 * held)::DOUBLE / (100 * open)::DOUBLE AS own FROM f),
 m AS (SELECT *, own * weight > 2 * source_size AS is_full FROM l),
 n AS (SELECT *, arg_min(own, held) FILTER (NOT is_full) OVER () AS level FROM m),
-t AS (SELECT source, source_size, CASE WHEN is_full THEN (2 * source_size)::DOUBLE ELSE level * weight END AS target FROM n),
+t AS (SELECT source, source_size, place, CASE WHEN is_full THEN (2 * source_size)::DOUBLE ELSE level * weight END AS target FROM n),
 c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - source_size - start)))::BIGINT AS taken
-FROM c"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (
+  SELECT *, greatest(0, least(size, floor(target) - start))::BIGINT AS one,
+         greatest(0, least(size, floor(target) - source_size - start))::BIGINT AS two FROM c),
+v AS (
+  SELECT *, CASE WHEN one > 0 THEN start::DOUBLE / target WHEN two > 0 THEN (start + source_size)::DOUBLE / target END AS share FROM u),
+z AS (
+  SELECT *, CASE place % 3
+    WHEN 0 THEN share
+    WHEN 1 THEN CASE WHEN 3 * share <= 1 THEN sqrt(0.25::DOUBLE + 2 * 1.125::DOUBLE * share) - 0.5::DOUBLE
+      ELSE 0.5::DOUBLE + (sqrt(1 + 4 * (1.125::DOUBLE * share - 0.375::DOUBLE)) - 1) / 2 END
+    ELSE CASE WHEN 3 * share <= 2 THEN (2 - sqrt(greatest(0, 4 - 4 * 1.125::DOUBLE * share))) / 2
+      ELSE 1.5::DOUBLE - sqrt(greatest(0, 1 - 2 * (1.125::DOUBLE * share - 0.75::DOUBLE))) END END AS moment FROM v)
+SELECT doc_id, size::BIGINT AS size, source_size, target, one + two AS taken, CASE WHEN share IS NOT NULL THEN floor(moment * 1000000)::BIGINT END AS first_micro FROM z"""
 
 
 @_query("op6_curriculum_mix", MIX_SQL)
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
+    first = F.coalesce(*[F.get("positions", F.lit(i)) for i in range(2)])
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", F.floor(first * 1_000_000).alias("first_micro")
+    ).orderBy("first_micro", "doc_id")
 
 
 @_query("op7_bitplane_files")
@@ -159,7 +173,11 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM t W
 w AS (SELECT doc_id, k, t AS a, lead(t) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM n),
 f AS (SELECT a, b, min((doc_id, k)) AS at FROM w WHERE b IS NOT NULL GROUP BY a, b),
 h AS (SELECT w.doc_id, w.k FROM w JOIN f USING (a, b) WHERE (w.doc_id, w.k) > f.at),
-g AS (SELECT DISTINCT n.doc_id, n.i FROM n JOIN h ON n.doc_id = h.doc_id AND n.k IN (h.k, h.k + 1)),
+o AS (SELECT * FROM n QUALIFY len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 20 OR count(*) OVER (PARTITION BY doc_id) = 1),
+e AS (SELECT t, min((doc_id, k)) AS at FROM o GROUP BY t),
+g AS (
+  SELECT n.doc_id, n.i FROM n JOIN h ON n.doc_id = h.doc_id AND n.k IN (h.k, h.k + 1) UNION
+  SELECT o.doc_id, o.i FROM o JOIN e USING (t) WHERE (o.doc_id, o.k) > e.at),
 c AS (
   SELECT l.doc_id, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS kept
   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
