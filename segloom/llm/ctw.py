@@ -278,7 +278,7 @@ def _emit(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
             out.write_batch(docs)
         key = task << 32 | number
         packed = zstandard.ZstdCompressor(level=1).compress(rank[code].astype("<u4").tobytes())
-        rows = [[-1 - (key % (1 << 30)), key, None, None, sink.getvalue().to_pybytes(), packed]]
+        rows = [[tokens.head_group(task, number), key, None, None, sink.getvalue().to_pybytes(), packed]]
         frag = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         cuts = np.searchsorted(frag, np.arange((1 << bits) + 1))
         for f in range(1 << bits):
