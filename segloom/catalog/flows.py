@@ -197,17 +197,17 @@ def _anti(spark, d):
 
 
 def phrase_edits(spark, d):
-    """An edit of the longest word of every 25th segment."""
+    """An edit of the longest word of every segment whose number 20 divides."""
     words = F.regexp_extract_all("target", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return X.bitext(spark, d).filter("idx % 25 = 3").select(
+    return X.bitext(spark, d).filter("idx % 20 = 0").select(
         "deck_id", F.col("idx").cast("long").alias("edit_id"), "idx", longest.alias("old_phrase"),
         F.when(F.col("idx") % 2 == 0, "").otherwise("NEW").alias("new_phrase"),
     ).filter("old_phrase is not null")
 
 
 _EDITS = """
-ew AS (SELECT deck_id, idx, unnest(regexp_extract_all(target, '[\\p{L}\\p{N}_]+')) AS w FROM bitext WHERE idx % 25 = 3),
+ew AS (SELECT deck_id, idx, unnest(regexp_extract_all(target, '[\\p{L}\\p{N}_]+')) AS w FROM bitext WHERE idx % 20 = 0),
 ed AS (SELECT deck_id, idx AS eidx, max(struct_pack(n := length(w), w := w)).w AS old FROM ew GROUP BY ALL),
 good AS (SELECT * FROM ed WHERE NOT regexp_full_match(old, '[_\\p{Nd}]*') AND (length(regexp_replace(old, '_', '', 'g')) >= 4 OR
   (length(regexp_replace(old, '_', '', 'g')) >= 2 AND regexp_matches(old, '\\p{Lu}') AND NOT regexp_matches(old, '\\p{Ll}')))),
@@ -237,18 +237,18 @@ def _replace(spark, d):
 
 
 def group_edits(spark, d):
-    """One operation per deck that edits every ninth segment, sometimes with the same text."""
-    return X.bitext(spark, d).filter("idx % 9 = 2").select(
+    """One operation per deck that edits every segment whose number 20 divides, sometimes with the same text."""
+    return X.bitext(spark, d).filter("idx % 20 = 0").select(
         "deck_id", F.lit(1).alias("op_id"), F.col("idx").alias("pos"), "idx",
-        F.when(F.col("idx") % 2 == 0, F.concat(F.lit("E"), (F.col("idx") % 4).cast("string"))).otherwise(F.col("original_text")).alias("target"),
+        F.when(F.col("idx") % 40 == 0, F.concat(F.lit("E"), (F.col("idx") % 3).cast("string"))).otherwise(F.col("original_text")).alias("target"),
     )
 
 
-_GE = "ge AS (SELECT deck_id, idx AS eidx, CASE WHEN idx % 2 = 0 THEN concat('E', idx % 4) ELSE original_text END AS t FROM bitext WHERE idx % 9 = 2)"
+_GE = "ge AS (SELECT deck_id, idx AS eidx, CASE WHEN idx % 40 = 0 THEN concat('E', idx % 3) ELSE original_text END AS t FROM bitext WHERE idx % 20 = 0)"
 _PROP = f"""{_PLAN}, {_GE},
 cand AS (SELECT p.deck_id, p.idx, ge.eidx, ge.t, b.target AS cur FROM ge JOIN plan o ON o.deck_id = ge.deck_id AND o.idx = ge.eidx
   JOIN plan p ON p.deck_id = o.deck_id AND p.canonical = o.canonical JOIN bitext b ON b.deck_id = p.deck_id AND b.idx = p.idx
-  WHERE p.idx = ge.eidx OR p.idx % 9 <> 2)"""
+  WHERE p.idx = ge.eidx OR p.idx % 20 <> 0)"""
 
 
 @query("propagate_edits", f"""
@@ -322,15 +322,15 @@ def _replay(spark, d):
 @query("edit_preview", f"""
 WITH {_PLAN},
 e AS (SELECT b.deck_id, b.idx, b.target AS old, replace(b.target, ' the ', ' a ') AS nw, o.canonical, budget
-  FROM (SELECT deck_id, idx, target, {BUDGET_SQL.format(glyph='1e0', grow='1e0')} AS budget FROM frames) b JOIN plan o USING (deck_id, idx) WHERE b.idx % 50 = 7),
+  FROM (SELECT deck_id, idx, target, {BUDGET_SQL.format(glyph='1e0', grow='1e0')} AS budget FROM frames) b JOIN plan o USING (deck_id, idx) WHERE b.idx % 20 = 0),
 ch AS (SELECT e.deck_id, e.idx, count(*) AS n FROM e JOIN plan p ON p.deck_id = e.deck_id AND p.canonical = e.canonical
-  JOIN bitext b ON b.deck_id = p.deck_id AND b.idx = p.idx WHERE b.target <> e.nw AND (p.idx = e.idx OR NOT (p.idx % 50 = 7)) GROUP BY ALL)
+  JOIN bitext b ON b.deck_id = p.deck_id AND b.idx = p.idx WHERE b.target <> e.nw AND (p.idx = e.idx OR NOT (p.idx % 20 = 0)) GROUP BY ALL)
 SELECT e.deck_id, CAST(e.idx AS BIGINT) AS edit_id, e.idx, old AS old_target, nw AS new_target, coalesce(ch.n, 0) AS changed, coalesce(length(nw) > budget, false) AS over_budget
 FROM e LEFT JOIN ch USING (deck_id, idx)""", "segments bitext frames")
 def _preview(spark, d):
     b = X.bitext(spark, d)
     plan = cut(R.repetition_plan(X.segments(spark, d)).select("deck_id", "idx", "canonical", "repeat_count"))
-    proposed = b.filter("idx % 50 = 7").select(
+    proposed = b.filter("idx % 20 = 0").select(
         "deck_id", F.col("idx").cast("long").alias("edit_id"), "idx", F.replace("target", F.lit(" the "), F.lit(" a ")).alias("new_target"), F.lit(True).alias("propagate")
     )
     previews, _ = V.edit_preview(proposed, b, plan, J.length_budget(X.frames(spark, d), "한국어"))
