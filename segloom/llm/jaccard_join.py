@@ -107,7 +107,7 @@ def _emit(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[p
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, _DOCS) as out:
             out.write_batch(docs)
-        rows = [[-1 - (key % (1 << 30)), key, None, None, None, None, sink.getvalue().to_pybytes()]]
+        rows = [[tokens.head_group(task, number), key, None, None, None, None, sink.getvalue().to_pybytes()]]
         frag = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         order = np.argsort(frag, kind="stable")
         cuts = np.searchsorted(frag[order], np.arange((1 << bits) + 1))
