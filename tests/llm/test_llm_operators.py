@@ -318,6 +318,31 @@ def test_surrogates(spark, odd, none):
     assert surrogates.replace_entities(odd, "k").count() == len(TEXTS) and surrogates.replace_entities(none, "k").count() == 0
 
 
+def test_surrogates_of_persons(spark):
+    """Full, short, upper-case and initialled forms, later mentions without title, two genders of one word."""
+    rows = [
+        (1, "Mr John Smith met Mr Smith. John Smith said hi. Dr. J. Smith and Mrs Anna Lee; Ms Lee left. SMITH's Smithers, Smith-Lee."),
+        (2, "Smith and Anna Lee are words of a text without titles."),
+        (3, "Ms Kim Park saw Mr Kim Doe and Prof John F. Smith. Dr Prof."),
+        (4, "Mrs O'Neil-Baker wrote to Éanna@example.org and anna@example.org, Baker and O'Neil-Baker."),
+        (5, None), (6, "Mr. Dr Prof"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in surrogates.replace_entities(df, "k").collect()}
+    one = out[1].text
+    form = re.fullmatch(
+        r"Mr (J\w+n) (S\w+r) met Mr (\w+)\. (\w+ \w+) said hi\. Dr\. J\. (\w+) and Mrs (A\w+na) (L\w+r); Ms (\w+) left\. (\w+)'s Smithers, (\w+)-(\w+)\.", one)
+    john, smith, lee = form[1], form[2], form[7]
+    assert form.groups() == (john, smith, smith, f"{john} {smith}", smith, form[6], lee, lee, smith.upper(), smith, lee)
+    assert len({john, smith, lee, form[6]}) == 4 and out[1].n_entities == 9
+    assert out[2].text == rows[1][1] and out[2].n_entities == 0
+    three = re.fullmatch(r"Ms (K\w+r) (P\w+r) saw Mr (K\w+r) (D\w+r) and Prof (J\w+l) F\. (\w+)\. Dr Prof\.", out[3].text)
+    assert three[1] == three[3] and three[6] == smith and three[5][:-1] == john[:-1] and out[3].n_entities == 3
+    four = re.fullmatch(r"Mrs (O\w+na) wrote to (\S+) and (\S+), Baker and (\w+)\.", out[4].text)
+    assert four[1] == four[4] and four[3] != "anna@example.org" and "anna@example.org" not in out[4].text
+    assert out[5].text is None and out[6].text == rows[5][1] and out[6].n_entities == 0
+
+
 def test_surrogates_stay_distinct(spark):
     """More short identities than a draw without checks could keep apart."""
     names = [(f"x{i}", "secret", f"{i:02d}") for i in range(60)]
