@@ -9,7 +9,7 @@ a text hash that is too heavy for that is cut by doc_id in the same way. Then ro
 
 Defined results: a null text has size 1 and the hash of no text; a null doc_id sorts last; rows equal in
 doc_id and text cannot be told apart, so the nearest border before or after them is taken; an empty
-table gives no rows; other columns pass through untouched.
+table gives no rows; other columns pass through ``exchange`` untouched, but for a ``shard`` of the caller, which is replaced.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ of the documents shares costs one row per place, never a pair per two places.
 
 Earlier means a smaller doc_id (null last), then a smaller row key, then an earlier line. Defined results: null and blank
 texts have no lines and stay as they are; lines without a word stay; equal rows get equal results and do not delete
-each other; an empty table gives no rows; other columns pass through.
+each other; an empty table gives no rows; other columns pass through, but for an ``n_removed`` of the caller, which is replaced.
 """
 
 from __future__ import annotations
