@@ -118,6 +118,11 @@ def _estimate(n0: Column, n1: Column) -> Column:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - F.lit(float(np.log(np.pi)))
 
 
+def _stored(p: Column) -> Column:
+    """A probability as a float below 1: after millions of equal bits it would round to 1, and the other bit score minus infinity."""
+    return F.least(p, F.lit(1 - 2.0**-24)).cast("float")
+
+
 def train(docs: DataFrame, *, depth: int = DEPTH, text: str = "text") -> DataFrame:
     """Model of all texts of ``docs``: ``level, ctx, node, p`` (probability of a 1), one row per seen context and node.
 
@@ -159,13 +164,13 @@ def train(docs: DataFrame, *, depth: int = DEPTH, text: str = "text") -> DataFra
         if d < depth:
             stop = F.exp(F.lit(_HALF) + own - F.col("all"))
             level = cut(level.withColumn("stop", stop).select(
-                "ctx", "node", (F.col("sum") + F.col("left") * (F.col("stop") * kt + (1 - F.col("stop")) / 2)).cast("float").alias("p"),
+                "ctx", "node", _stored(F.col("sum") + F.col("left") * (F.col("stop") * kt + (1 - F.col("stop")) / 2)).alias("p"),
                 (F.col("sum") + F.col("left") * F.col("stop") * kt).alias("sum"),
                 (F.col("left") * (1 - F.col("stop"))).alias("left"),
             ))
             above = level.select(F.col("ctx").alias("up"), "node", "sum", "left")
         else:
-            level = cut(level.select("ctx", "node", (F.col("sum") + F.col("left") * kt).cast("float").alias("p")))
+            level = cut(level.select("ctx", "node", _stored(F.col("sum") + F.col("left") * kt).alias("p")))
         drop(levels.pop(d))
         part = level.select(F.lit(d).alias("level"), "ctx", "node", "p")
         out = part if out is None else out.unionByName(part)

@@ -576,6 +576,15 @@ def test_query_mixes_contexts_of_five_bytes(spark):
     assert np.allclose([got[d] for d, _ in texts], deep, atol=5e-3)
 
 
+def test_scores_stay_finite_after_millions_of_equal_bits(spark):
+    train = spark.range(20, numPartitions=20).select(F.repeat(F.lit("a"), 1_000_000).alias("text"))
+    asked = spark.createDataFrame([(1, "aaaaaa aaaaaa"), (2, "plain")], "doc_id long, text string").coalesce(1)
+    model = ctw.train(train, depth=2)
+    assert model.filter("p <= 0 or p >= 1").count() == 0
+    got = {r.doc_id: r.score for r in ctw.score(asked, model, depth=2).collect()}
+    assert len(got) == 2 and all(np.isfinite(s) for s in got.values())
+
+
 def test_longer_contexts_help_on_held_out_text(docs):
     bits = []
     for depth in (1, 3):
