@@ -197,6 +197,8 @@ def translate_batches(
         for frame in frames:
             for row in frame.itertuples(index=False):
                 replies = fn(list(row.texts))
+                if not len(replies):  # nothing came back: the batch is in the retry set
+                    continue
                 yield pd.DataFrame({
                     "deck_id": row.deck_id, "batch_no": row.batch_no, "attempt": attempt,
                     "item_index": range(1, len(replies) + 1), "seq": range(1, len(replies) + 1), "text": replies,
