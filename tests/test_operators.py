@@ -193,6 +193,21 @@ def test_propagation(spark):
     assert got == {0: "new", 1: "other", 2: "other", 4: "other"}
 
 
+def test_preview_leaves_other_proposals_their_texts(spark):
+    b = bitext(spark, [("a", "1"), ("a", "2"), ("a", "3"), ("b", "4")])
+    proposed = spark.createDataFrame([("d", 0, 0, "x", True), ("d", 1, 1, "y", True)], "deck_id string, edit_id long, idx int, new_target string, propagate boolean")
+    budgets = b.select("deck_id", "idx").withColumn("budget", F.lit(9))
+    got = {r["edit_id"]: r["changed"] for r in V.edit_preview(proposed, b, repetition_plan(b), budgets)[0].collect()}
+    assert got == {0: 2, 1: 2}  # its own segment and the third; not the segment of the other proposal
+
+
+def test_batch_without_any_reply_is_sent_again(spark):
+    seg = spark.createDataFrame([("d", i, f"line {i}") for i in range(3)], "deck_id string, idx long, original_text string")
+    got = {r["idx"]: r["target"] for r in H.localise(
+        seg, lambda t: t[:-1], size=2, retry_fn=lambda t: [f"<{x}>" for x in t]).collect()}
+    assert got == {0: "<line 0>", 1: "<line 1>", 2: "<line 2>"}
+
+
 def test_replay(spark):
     log = [
         (1, 1, "edit", 0, [(0, "x", "base")]), (1, 2, "edit", 0, [(0, "y", "base")]), (1, 3, "edit", 1, [(0, "x", "base")]),
