@@ -208,6 +208,19 @@ def test_batch_without_any_reply_is_sent_again(spark):
     assert got == {0: "<line 0>", 1: "<line 1>", 2: "<line 2>"}
 
 
+def test_texts_do_not_move_for_readers_of_keys_alone(spark):
+    """The plans of the repeat search and of numbered findings exchange digests and numbers, not texts."""
+    b = bitext(spark, [("one two three", "x"), ("one two three", "y"), ("z", "z")])
+    findings = W.run_sweep(b, terms(spark, [("one", "eins")]), source_lang="영어", target_lang="한국어")
+    assert [(r["idx"], r["ordinal"]) for r in findings.orderBy("ordinal").collect()] == [(0, 1), (1, 2), (1, 3)]
+    keys_only = findings.select("deck_id", "idx", "type", "ordinal")
+    planned = keys_only._jdf.queryExecution().optimizedPlan().toString()
+    assert "original_text" not in "".join(line for line in planned.splitlines() if "Join" in line or "Aggregate" in line)
+    assert "format_string" not in planned
+    plan = repetition_plan(b).select("idx", "canonical", "repeat_count")
+    assert [tuple(r) for r in plan.orderBy("idx").collect()] == [(0, 0, 2), (1, 0, 2), (2, 2, 1)]
+
+
 def test_replay(spark):
     log = [
         (1, 1, "edit", 0, [(0, "x", "base")]), (1, 2, "edit", 0, [(0, "y", "base")]), (1, 3, "edit", 1, [(0, "x", "base")]),
