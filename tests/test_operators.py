@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from segloom.catalog import fixtures, flows
 from segloom.operators import batching as H
 from segloom.operators import blocks as B
 from segloom.operators import fit as J
@@ -221,6 +222,12 @@ def test_texts_do_not_move_for_readers_of_keys_alone(spark):
     assert [tuple(r) for r in plan.orderBy("idx").collect()] == [(0, 0, 2), (1, 0, 2), (2, 2, 1)]
 
 
+def test_propagation_query_edits_every_segment(spark):
+    sf = "/root/testdata/sf0.001"
+    edited = flows.group_edits(spark, sf).select("deck_id", "idx").distinct()
+    assert edited.count() == fixtures.segments(spark, sf).count()
+
+
 def test_replay(spark):
     log = [
         (1, 1, "edit", 0, [(0, "x", "base")]), (1, 2, "edit", 0, [(0, "y", "base")]), (1, 3, "edit", 1, [(0, "x", "base")]),
