@@ -228,6 +228,15 @@ def test_propagation_query_edits_every_segment(spark):
     assert edited.count() == fixtures.segments(spark, sf).count()
 
 
+def test_phrase_search_does_not_copy_texts_per_word(spark):
+    b = bitext(spark, [("a", "stone two"), ("b", "stone three")])
+    edits = spark.createDataFrame([("d", 1, 0, "stone", "NEW")], "deck_id string, edit_id long, idx int, old_phrase string, new_phrase string")
+    found = V.partial_phrase_candidates(edits, b)
+    assert [(r["idx"], r["proposed_target"]) for r in found.collect()] == [(1, "NEW three")]
+    planned = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in planned.splitlines() if "Project [" in line and "__key#" in line and "original_text#" in line]
+
+
 def test_replay(spark):
     log = [
         (1, 1, "edit", 0, [(0, "x", "base")]), (1, 2, "edit", 0, [(0, "y", "base")]), (1, 3, "edit", 1, [(0, "x", "base")]),
