@@ -45,7 +45,9 @@ def _ngrams(segments: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     near = single.withColumn("head", T.fold("__w")).join(heads, "head").groupBy("deck_id", "idx").agg(
         F.collect_list(F.struct("start", "ks")).alias("__s")
     )
-    cut_up = segments.select("deck_id", "idx", _tokens(F.col(text)).alias("__t")).join(near.hint("merge"), ["deck_id", "idx"])
+    cut_up = segments.select("deck_id", "idx", F.col(text).alias("__x")).join(near.hint("merge"), ["deck_id", "idx"]).withColumn(
+        "__t", _tokens(F.col("__x"))  # texts are exchanged, not their tokens
+    )
     spans = F.flatten(F.transform("__s", lambda s: F.transform(s["ks"], lambda k: F.struct(
         s["start"].alias("start"), (s["start"] + k).alias("stop"), F.array_join(F.slice("__t", s["start"] + 1, k), "").alias("surface")
     ))))
