@@ -332,3 +332,20 @@ def test_rules(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(ValueError):
         Z.read_rules(spark, str(tmp_path / "bad.json"))
+
+
+def test_paragraphs_pack_their_runs_before_the_exchange(spark):
+    """Words of a paragraph move as one row: the partial aggregation stands below the exchange, and no window takes single runs."""
+    from segloom.operators import style
+
+    rows = [("d", 4, 1, "bc", "#FF0000"), ("d", 4, 0, "a", "default"), ("d", 4, 2, "defghij", "default"), ("d", 9, 0, "", "#FF0000"), ("d", 11, 0, "x", "#FF0000")]
+    runs = spark.createDataFrame(rows, "deck_id string, idx long, run_no int, text string, color string")
+    found = style.paragraphs_of(runs)
+    got = {(r.idx, r.para_no, r.text, r.length, tuple(r.spots)) for r in found.collect()}
+    assert got == {(4, 0, "abcdefghij", 10, ("front",)), (11, 1, "x", 1, ("middle",))}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list" in plan and "Window" not in plan
+    # one deck has a paragraph more: its last texts are named
+    other = spark.createDataFrame(rows[:3], runs.schema)
+    mismatch = style.style_audit(runs, other).filter("kind = 'paragraph_count_mismatch'").collect()
+    assert [(r["deck_id"], r["index"], r["source_text"], r["target_text"]) for r in mismatch] == [("d", 1, "x", "abcdefghij")]
