@@ -36,6 +36,8 @@ DEPTH = 5
 END = 255
 #: Model entries in one broadcast pack: 12 bytes each.
 PACK_ENTRIES = 12_000_000
+#: Entries that the driver fetches at a time.
+SLICE_ENTRIES = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 FRAGMENT_BYTES = 16 << 20
 #: Text bytes whose n-grams are held at a time.
@@ -177,17 +179,39 @@ def train(docs: DataFrame, *, depth: int = DEPTH, text: str = "text") -> DataFra
     return out
 
 
+def _ranges(sizes: list[tuple[int, int]], limit: int) -> list[tuple[int, int, int]]:
+    """Neighbouring numbers joined to ranges ``(first, last, entries)`` of at most ``limit`` entries, or of one number."""
+    out: list[tuple[int, int, int]] = []
+    for number, n in sorted(sizes):
+        if out and out[-1][2] + n <= limit:
+            out[-1] = (out[-1][0], number, out[-1][2] + n)
+        else:
+            out.append((number, number, n))
+    return out
+
+
 class Pack:
     """Model entries by level, sorted by (context, node)."""
 
-    def __init__(self, model: DataFrame, depth: int):
+    def __init__(self, model: DataFrame, depth: int, slice_entries: int = SLICE_ENTRIES):
+        """Levels come in ranges of contexts, so that the driver holds the sorted pack and one slice of it, and the JVM one slice."""
         self.depth, self.levels = depth, []
         key = F.shiftleft("ctx", 8).bitwiseOR(F.col("node").cast("long"))
-        for d in range(depth + 1):  # one at a time: the driver holds one unsorted level
-            table = model.filter(F.col("level") == d).select(key.alias("key"), "p").toArrow()
-            keys = table.column("key").to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            self.levels.append((keys[order], table.column("p").to_numpy()[order]))
+        # the two earliest bytes of a context, at most 65,536 numbers a level
+        top = F.expr("shiftrightunsigned(ctx, greatest(0, 8 * (level - 2)))")
+        sizes: dict[int, list[tuple[int, int]]] = {d: [] for d in range(depth + 1)}
+        for r in model.groupBy("level", top.alias("top")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist():
+            sizes[r["level"]].append((r["top"], r["n"]))
+        for d in range(depth + 1):
+            n = sum(n for _, n in sizes[d])
+            keys, values, at = np.empty(n, np.uint64), np.empty(n, np.float32), 0
+            for first, last, entries in _ranges(sizes[d], slice_entries):
+                table = model.filter((F.col("level") == d) & top.between(first, last)).select(key.alias("key"), "p").toArrow()
+                own = table.column("key").to_numpy().view(np.uint64)
+                order = np.argsort(own)
+                keys[at : at + entries], values[at : at + entries] = own[order], table.column("p").to_numpy()[order]
+                at += entries
+            self.levels.append((keys, values))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """Log10 probability of each n-gram's last byte; the deepest seen context of each bit has the mixture."""

@@ -653,3 +653,24 @@ def test_maximal_groups(spark):
 def test_without_names_rows(odd):
     gone = odd.filter("doc_id = 2 or text = 'x y'").select("doc_id", tables.row_key(odd).alias("key"))
     assert tables.without(odd, gone).count() == len(TEXTS) - 4 and tables.within(odd, gone).count() == 4
+
+
+def test_model_packs_are_fetched_in_slices(spark, monkeypatch):
+    """No fetch of a pack has more entries than a slice, and slices give the same sorted levels as one fetch."""
+    docs = spark.createDataFrame([(i, f"text {i} of words {i * 7919 % 101} ÿ\U0010ffff") for i in range(40)], "doc_id long, text string")
+    model = ctw.cut(ctw.train(docs, depth=3))
+    frame, fetched = type(model), []
+    plain = frame.toArrow
+
+    def noted(self):
+        table = plain(self)
+        fetched.extend([table.num_rows] if "p" in table.column_names else [])
+        return table
+
+    monkeypatch.setattr(frame, "toArrow", noted)
+    sliced = ctw.Pack(model, 3, slice_entries=600)
+    assert len(fetched) > 4 and max(fetched) <= 600
+    rows = model.collect()
+    for d, (keys, values) in enumerate(sliced.levels):
+        want = sorted((r.ctx << 8 | r.node, r.p) for r in rows if r.level == d)
+        assert keys.tolist() == [k for k, _ in want] and values.tolist() == [p for _, p in want]
