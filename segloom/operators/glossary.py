@@ -162,7 +162,7 @@ def glossary_hits_first(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     terms = cut(glossary.select(F.col("pos").cast("long").alias("pos"), "source").filter("source is not null"))
     found = holders(
         segments.select("deck_id", "idx", F.lower("original_text").alias("__lower")), "__lower",
-        terms.select(F.lower("source").alias("n"), "pos", "source").filter("n <> ''"),
+        terms.select(F.lower("source").alias("n"), "pos", "source").filter("n <> ''"), ["pos", "source"],
     )
     entry = F.struct("pos", "source")
     hits = found.groupBy("deck_id", "idx").agg(F.array_sort(F.collect_list(F.struct("__t.pos", "__t.source"))).alias("h"))

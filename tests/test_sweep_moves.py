@@ -47,3 +47,15 @@ def test_sweep_with_a_glossary_too_large_to_carry(spark, monkeypatch):
     want = _plain(W.run_sweep(b, glossary, locked, source_lang="영어", target_lang="한국어"))
     monkeypatch.setattr(A, "carried", lambda terms: None)
     assert _plain(W.run_sweep(b, glossary, locked, source_lang="영어", target_lang="한국어")) == want
+
+
+def test_terms_beyond_the_bound_go_to_the_texts_in_packs(spark, monkeypatch):
+    b, (glossary, locked, _) = _bitext(spark), _lists(spark)
+    want = _plain(W.check_terminology(b, glossary, locked))
+    monkeypatch.setattr(A, "MAX_TERMS", 0)
+    monkeypatch.setattr(A, "PACK_TERMS", 1)
+    got = W.check_terminology(b, glossary, locked)
+    assert _plain(got) == want and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") > 2 and "Exchange" not in plan and "Join" not in plan
+    assert W.check_terminology(b, glossary.limit(0)).collect() == []
