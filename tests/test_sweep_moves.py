@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from segloom.operators import automaton as A
+from segloom.operators import language
 from segloom.operators import sweep as W
 
 _ROWS = [
@@ -59,3 +60,23 @@ def test_terms_beyond_the_bound_go_to_the_texts_in_packs(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") > 2 and "Exchange" not in plan and "Join" not in plan
     assert W.check_terminology(b, glossary.limit(0)).collect() == []
+
+
+def test_language_of_each_target_is_found_where_the_text_is(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [("the house with the blue door", "en"), ("la maison et la porte", "fr"), ("das rote haus", "de")], "text string, lang string"
+    )
+    b, profile = _bitext(spark), language.language_profile(docs)
+    code = language.code_of(profile, F.col("target"))
+    keys = ["deck_id", "idx"]
+    near = sorted(map(tuple, b.select(*keys, code.alias("code")).filter("code is not null").collect()))
+    joined = sorted(map(tuple, language.code_by_join(b, language.cut(profile), keys, "target").collect()))
+    assert near == joined == sorted(map(tuple, language.detect_code(b, profile, keys, "target").collect())) and len({c for *_, c in near}) == 3
+    decks = lambda: [tuple(r) for r in language.detect_code(b, profile, ["deck_id"], "target").collect()]
+    one = decks()
+    detected = language.detect_code(b, profile, keys, "target")
+    with_column, with_rows = (W.check_untranslated(b, "영어", "한국어", x) for x in (code, detected))
+    assert _plain(with_column) == _plain(with_rows) and {r.idx for r in with_rows.collect()} == {3, 6}
+    assert "Exchange" not in with_column._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(language, "MAX_PROFILE", 0)
+    assert language.code_of(profile, F.col("target")) is None and decks() == one
