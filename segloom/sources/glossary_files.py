@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from segloom.functions import text as T
 from segloom.functions import values as V
@@ -28,15 +28,24 @@ def _sniff(text: str) -> str:
     return max([",", "\t", ";"], key=plain.count)
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def _records(files: pd.Series) -> pd.Series:
-    def parse(text: str) -> list[list[str]]:
-        text = text.removeprefix("\ufeff")
-        csv.field_size_limit(1 << 30)
-        rows = csv.reader(io.StringIO(text, newline=""), delimiter=_sniff(text), strict=False)
-        return [row for row in rows if any(cell.strip() for cell in row)]
+def _entries(text: str) -> list[tuple]:
+    """Entries of one file, without blank ones and the header."""
+    csv.field_size_limit(1 << 30)
+    text = text.removeprefix("\ufeff")
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=_sniff(text), strict=False)
+    filled = (row for row in rows if any(cell.strip() for cell in row))
+    cells = [(pos, *(c.strip() for c in row[:3])) for pos, row in enumerate(filled) if len(row) >= 2 and row[0].strip() and row[1].strip()]
+    if cells and cells[0][1].lower() in V.HEADER_SOURCE and cells[0][2].lower() in V.HEADER_TARGET:
+        del cells[0]
+    return [(pos, source, target, notes[0] or None if notes else None) for pos, source, target, *notes in cells]
 
-    return files.map(parse)
+
+def _records(files: pa.Array) -> pa.Array:
+    listed = [_entries(text) for text in files.to_pylist()]
+    columns = zip(*(e for entries in listed for e in entries)) if any(listed) else [()] * 4
+    kinds = {"pos": pa.int32(), "source": pa.string(), "target": pa.string(), "notes": pa.string()}
+    flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, listed))], pa.int32()), flat)
 
 
 def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,17 +54,12 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
     A glossary file is small by contract (the entry and term limits bound it), so a file is the
     unit of parallelism: quoted line breaks make record order a property of the whole file.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value")
-    )
-    rows = files.select("path", F.posexplode(_records("value")).alias("pos", "r")).filter(F.size("r") >= 2)
-    cells = rows.select(
-        "path", "pos", T.strip(F.col("r")[0]).alias("source"), T.strip(F.col("r")[1]).alias("target"),
-        F.nullif(T.strip(F.try_element_at("r", F.lit(3))), F.lit("")).alias("notes"),
-    ).filter("source <> '' and target <> ''")
-    first = cells.groupBy("path").agg(F.min("pos").alias("first_pos"))
-    header = F.lower("source").isin(V.HEADER_SOURCE) & F.lower("target").isin(V.HEADER_TARGET)
-    return cells.join(first, "path").filter(~((F.col("pos") == F.col("first_pos")) & header)).drop("first_pos")
+    return glossary_records(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def glossary_records(files: DataFrame) -> DataFrame:
+    """``read_glossary_csv`` for files kept as rows (``path, value``), as millions of small uploads should be; nothing is exchanged."""
+    return files.select("path", F.inline(F.arrow_udf(_records, "array<struct<pos:int,source:string,target:string,notes:string>>")("value")))
 
 
 def write_glossary_csv(glossary: DataFrame, path: str) -> None:

@@ -176,3 +176,19 @@ def test_language_of_a_deck_with_a_foreign_opening(spark):
     whole = language.detect_language(segments, profile).first().language
     opening = language.detect_language(language.deck_samples(segments), profile, text="sample").first().language
     assert whole != opening
+
+
+def test_glossary_files_as_rows_are_read_without_an_exchange(spark, tmp_path):
+    bodies = ["source,target\r\na,b\r\n", "a;b;n\r\nsource;target\r\n", "\ufeff \r\nx\r\n,y\r\nterm\tt\r\n", "x\ty\nz\t1\t \n", "", "Source,Target", 'a,"b\nc"']
+    files = spark.createDataFrame([(f"f{i}", b) for i, b in enumerate(bodies)], "path string, value string")
+    rows = glossary_files.glossary_records(files)
+    plain = [
+        ("f0", 1, "a", "b", None), ("f1", 0, "a", "b", "n"), ("f1", 1, "source", "target", None), ("f3", 0, "x", "y", None),
+        ("f3", 1, "z", "1", None), ("f6", 0, "a", "b\nc", None),
+    ]
+    assert sorted(map(tuple, rows.collect()), key=str) == plain
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    for i, b in enumerate(bodies):
+        (tmp_path / f"f{i}").write_bytes(b.encode())
+    read = glossary_files.read_glossary_csv(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    assert sorted(map(tuple, read.collect()), key=str) == plain
