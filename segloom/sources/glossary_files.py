@@ -196,8 +196,41 @@ def locked_terms(rules: DataFrame, target_lang: str, *by: str) -> DataFrame:
     )
 
 
+_ZIP, _OLE2 = "504B0304", "D0CF11E0A1B11AE1"
+#: Files that Spark's text reader would unpack.
+_PACKED = r"(?i)\.(gz|gzip|bz2|deflate|snappy|lz4|zst|zstd)$"
+
+
 def file_signature_filter(files: DataFrame) -> DataFrame:
     """Classify binary files by their first bytes: ``format`` and ``valid``."""
     head = F.hex(F.substring("content", 1, 8))
-    kind = F.when(F.startswith(head, F.lit("504B0304")), "zip").when(head == "D0CF11E0A1B11AE1", "ole2")
+    kind = F.when(F.startswith(head, F.lit(_ZIP)), "zip").when(head == _OLE2, "ole2")
     return files.withColumn("format", kind).withColumn("valid", F.col("format").isNotNull())
+
+
+def file_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """``file_signature_filter`` of the files under ``path`` without their contents: ``path, length, format, valid``.
+
+    Files are read as lines, in splits, so that a large one is many tasks: neither signature has a line feed, so it lies in
+    the first line, the one with the smallest row number of the split that begins the file. The reader leaves out a byte order mark,
+    which the lengths show. Files that the reader would unpack are read whole.
+    """
+    at, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    listed = spark.read.format("binaryFile").load(path).select("path", "length", at.alias("__at"))
+    plain = ~F.col("_metadata.file_name").rlike(_PACKED)
+    head = F.hex(F.substring(F.col("value").cast("binary"), 1, 8))
+    kind = F.when(F.startswith(head, F.lit(_ZIP)), 1).when(head == _OLE2, 2).otherwise(0)
+    # row number and kind in one number, whose least is that of the first line
+    lines = spark.read.text(path, lineSep="\n").filter(plain).select(
+        at.alias("__at"), size.alias("__size"), (F.octet_length("value") + 1).cast("long").alias("__bytes"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id() * 4 + kind).alias("__first"),
+    )
+    seen = lines.groupBy("__at", "__size").agg(F.sum("__bytes").alias("__bytes"), F.min("__first").alias("__first"))
+    told = seen.filter(F.col("__bytes") >= F.col("__size")).select("__at", (F.col("__first") % 4).alias("__kind"))
+    packed = spark.read.format("binaryFile").load(path).filter(~plain)
+    whole = file_signature_filter(packed.withColumn("__at", at)).select(
+        "__at", F.when(F.col("format") == "zip", 1).when(F.col("format") == "ole2", 2).otherwise(0).cast("long").alias("__kind")
+    )
+    found = listed.join(told.unionByName(whole), "__at", "left")
+    named = F.when(F.col("__kind") == 1, "zip").when(F.col("__kind") == 2, "ole2")
+    return found.withColumn("format", named).withColumn("valid", F.col("format").isNotNull()).select("path", "length", "format", "valid")

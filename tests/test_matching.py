@@ -192,3 +192,24 @@ def test_glossary_files_as_rows_are_read_without_an_exchange(spark, tmp_path):
         (tmp_path / f"f{i}").write_bytes(b.encode())
     read = glossary_files.read_glossary_csv(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
     assert sorted(map(tuple, read.collect()), key=str) == plain
+
+
+def test_signatures_without_the_contents(spark, tmp_path):
+    zipped, ole2 = b"PK\x03\x04", bytes.fromhex("D0CF11E0A1B11AE1")
+    heads = {
+        "a.pptx": zipped + b"\n" * 5, "b.ppt": ole2 + b"x\r\n" * 9, "c.bin": ole2[:7], "d.bin": b"", "e.bin": b"\n" + zipped, "f.bin": b"\xef\xbb\xbf" + zipped + b"\n",
+        "g.bin": b"\xef\xbb\xbf" + zipped, "h.gz": zipped + b"no gzip", "i.zst": b"neither", "j.bin": zipped, "k.bin": ole2 + b"\n",
+        "l.bin": zipped + bytes(range(256)) * 2000, "m.bin": b"plain\n" * 90000 + zipped + b"\n" + ole2, "n.bin": b"\xff\xfe\n\n", "o.bin": b"\r" + zipped,
+    }
+    for name, body in heads.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        got = glossary_files.file_signatures(spark, str(tmp_path))
+        largest = spark.read.text(str(tmp_path / "m.bin"), lineSep="\n").rdd.getNumPartitions()
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = glossary_files.file_signature_filter(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert rows == sorted(map(tuple, whole.select("path", "length", "format", "valid").collect())) and largest > 1
+    assert {r[0][-5:] for r in rows if r[3]} == {".pptx", "b.ppt", "/h.gz", "j.bin", "k.bin", "l.bin"}
