@@ -100,31 +100,43 @@ def net(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*rest).agg(F.sum("change").alias("__n")).filter("__n > 0").drop("__n")
 
 
+#: A session's places share a state by ranges of ``2**PLACE_BITS``.
+PLACE_BITS = 8
+
+
 class DismissalProcessor(StatefulProcessor):
-    """Last writer by ``seq`` of one key; emits when that turns the key's state."""
+    """Last writers by ``seq`` of a range of places; emits those whose state a batch turns."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "seq long, action string")
+        self._last = handle.getValueState("last", "idx array<long>, seq array<long>, action array<string>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        seq, action = self._last.get() if self._last.exists() else (None, "restore")
-        was = action
+        stored = self._last.get() if self._last.exists() else ([], [], [])
+        was = {idx: (seq, action) for idx, seq, action in zip(*stored)}
+        now = dict(was)
         for frame in rows:
-            r = frame.loc[frame["seq"].idxmax()]
-            if seq is None or int(r["seq"]) > seq:
-                seq, action = int(r["seq"]), r["action"]
-        self._last.update((seq, action))
-        if action != was:
-            yield pd.DataFrame({"session_id": [key[0]], "idx": [key[1]], "seq": [seq], "action": [action]})
+            newest = frame.sort_values("seq").drop_duplicates("idx", keep="last")
+            for idx, seq, action in zip(newest["idx"].tolist(), newest["seq"].tolist(), newest["action"].tolist()):
+                if idx not in now or seq > now[idx][0]:
+                    now[idx] = (seq, action)
+        if now != was:
+            self._last.update((list(now), [seq for seq, _ in now.values()], [action for _, action in now.values()]))
+        turned = [(idx, seq, action) for idx, (seq, action) in now.items() if action != was.get(idx, (None, "restore"))[1]]
+        if turned:
+            out = pd.DataFrame(turned, columns=["idx", "seq", "action"])
+            out.insert(0, "session_id", key[0])
+            yield out
 
     def close(self) -> None:
         pass
 
 
 def dismissal_stream(actions: DataFrame) -> DataFrame:
-    """Changes of what is dismissed, per session and place, whatever the order of arrival; the newest row of a key is its state."""
-    acts = actions.filter("action in ('dismiss', 'restore') and idx >= 0").select("session_id", "idx", F.col("seq").cast("long").alias("seq"), "action")
-    return acts.withColumn("idx", F.col("idx").cast("long")).groupBy("session_id", "idx").transformWithStateInPandas(
+    """Changes of what is dismissed, per session and place, whatever the order of arrival; the newest row of a place is its state."""
+    acts = actions.filter("action in ('dismiss', 'restore') and idx >= 0").select(
+        "session_id", F.col("idx").cast("long").alias("idx"), F.col("seq").cast("long").alias("seq"), "action"
+    )
+    return acts.withColumn("__range", F.shiftright("idx", PLACE_BITS)).groupBy("session_id", "__range").transformWithStateInPandas(
         statefulProcessor=DismissalProcessor(), outputStructType="session_id bigint, idx bigint, seq bigint, action string",
         outputMode="Update", timeMode="None",
     )

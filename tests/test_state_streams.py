@@ -166,3 +166,15 @@ def test_merged_sketches_stay_near_exact_counts(spark):
     exact = matches.select("deck_id", "idx").distinct().count()
     for r in matching.merged_usage(matching.usage_sketches(matches)).collect():
         assert abs(r.segments - exact) <= 0.03 * exact and r.occurrences == 200_000 and r.decks == 7
+
+
+def test_places_of_a_session_share_a_state(spark, arriving):
+    log = [(s, i, "dismiss" if i % 3 else "restore", i % 600) for s in range(2) for i in range(1800)]
+    schema = "session_id long, seq long, action string, idx int"
+    stream = Y.dismissal_stream(arriving([log[900:], log[:900]], schema))
+    grouped = next(line for line in str(stream._jdf.queryExecution().analyzed()).splitlines() if "TransformWithState" in line)
+    assert "__range" in grouped
+    changes = Z.run_available(stream, "update")
+    newest = changes.groupBy("session_id", "idx").agg(F.max_by("action", "batch_id").alias("a")).filter("a = 'dismiss'")
+    want = sorted(map(tuple, review.dismissal_state(spark.createDataFrame(log, schema))[0].collect()))
+    assert sorted((r.session_id, r.idx) for r in newest.collect()) == want and want
