@@ -38,6 +38,18 @@ def test_divergence_is_withdrawn_and_made_again(spark, arriving):
     assert changes.filter("change < 0").count() > 0
 
 
+@pytest.mark.parametrize("states", [1, 7])
+def test_texts_of_several_decks_share_states(spark, arriving, states):
+    rng = random.Random(5)
+    rows = [(rng.choice("de"), i, i, 0, 0, f"text {rng.randrange(9)}", rng.choice(["One", " ONE", "two", "three"])) for i in range(150)]
+    schema = "deck_id string, idx long, slide_index long, shape_index int, paragraph_index int, original_text string, target string"
+    want = W.check_divergence(spark.createDataFrame(rows, schema)).select("deck_id", "idx", "description").collect()
+    rng.shuffle(rows)
+    changes = Z.run_available(Y.divergence_stream(arriving([rows[:50], rows[50:70], rows[70:]], schema), states=states))
+    assert sorted(map(tuple, Y.net(changes).select("deck_id", "idx", "description").collect())) == sorted(map(tuple, want)) and want
+    assert changes.groupBy(*[c for c in changes.columns if c != "change"]).agg(F.sum("change").alias("n")).filter("n not in (0, 1)").isEmpty()
+
+
 def test_dismissals_in_any_order(spark, arriving):
     rng = random.Random(4)
     log = [(rng.randrange(3), s, rng.choice(["dismiss", "restore", "edit"]), rng.randrange(-1, 5)) for s in range(90)]
