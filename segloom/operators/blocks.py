@@ -17,19 +17,23 @@ def merge_blocks(segments: DataFrame, cap: int = V.MAX_BLOCK_SIZE) -> DataFrame:
 
     Whether two neighbours belong together does not depend on block size, so runs of joined
     neighbours are numbered inside their text frame and then cut every ``cap`` lines. Frames are
-    small, so no window spans a deck.
+    small, so no window spans a deck. Texts are judged before they move, and move only if the caller reads them.
     """
     by_frame = Window.partitionBy(*_FRAME).orderBy("idx")
-    prev_text = T.strip(F.lag("original_text").over(by_frame))
+    said = T.strip("original_text")
+    flagged = segments.withColumns({
+        "__lower": T.lstrip("original_text").rlike(r"^\p{Ll}"), "__mid": said.rlike(V.MID_CLAUSE_END), "__closed": said.rlike(V.SENTENCE_END),
+    })
+    prev_mid, prev_closed = (F.lag(c).over(by_frame) for c in ("__mid", "__closed"))
     prev_par = F.lag("paragraph_index").over(by_frame)
     reason = (
         F.when(F.lag("idx").over(by_frame).isNull() | (F.lag("idx").over(by_frame) != F.col("idx") - 1), "container")
         .when(F.col("paragraph_index") != prev_par + 1, "gap")
         .when(F.col("container_kind").isin(V.SOLITARY_KINDS), "kind")
-        .when(~T.lstrip("original_text").rlike(r"^\p{Ll}") & ~prev_text.rlike(V.MID_CLAUSE_END), "not_continuation")
-        .when(prev_text.rlike(V.SENTENCE_END), "sentence_end")
+        .when(~F.col("__lower") & ~prev_mid, "not_continuation")
+        .when(prev_closed, "sentence_end")
     )
-    paired = segments.withColumn("__reason", reason)
+    paired = flagged.withColumn("__reason", reason)
     island = F.sum(F.col("__reason").isNotNull().cast("int")).over(by_frame.rowsBetween(Window.unboundedPreceding, 0))
     by_island = Window.partitionBy(*_FRAME, "__island").orderBy("idx")
     placed = paired.withColumn("__island", island).withColumn("__place", F.row_number().over(by_island) - 1)

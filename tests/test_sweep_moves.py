@@ -1,10 +1,13 @@
 """What a sweep writes and exchanges: positions and digests, not the texts of its findings."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from segloom.operators import automaton as A
 from segloom.operators import language
 from segloom.operators import sweep as W
+from segloom.operators.blocks import merge_blocks
 
 _ROWS = [
     (0, "the red house is here.", "la maison rouge"), (1, "the red house is here.", "das rote haus"), (2, "the red house is here.", "la  maison ROUGE"),
@@ -80,3 +83,39 @@ def test_language_of_each_target_is_found_where_the_text_is(spark, monkeypatch):
     assert "Exchange" not in with_column._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(language, "MAX_PROFILE", 0)
     assert language.code_of(profile, F.col("target")) is None and decks() == one
+
+
+def test_notes_are_numbered_like_findings_and_move_no_texts(spark):
+    b, (glossary, locked, detected) = _bitext(spark), _lists(spark)
+    langs = dict(source_lang="영어", target_lang="한국어", detected=detected)
+    said = ["deck_id", "idx", "type", "severity", "suggested_fix", "term_source", "check_rank", "ordinal"]
+    numbered = W.assign_ordinals(W.sweep_notes(b, glossary, locked, **langs))
+    want = W.run_sweep(b, glossary, locked, **langs)
+    assert sorted(map(str, numbered.select(said).collect())) == sorted(map(str, want.select(said).collect()))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert not any(c in plan for c in ("original_text", "target", "src_n", "tgt_n"))
+
+
+def test_findings_are_numbered_in_reporting_order(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("de"), rng.randrange(9000), rng.choice("tu"), rank, rng.randrange(20000), 0, rng.randrange(3)) for rank in (1, 3, 5) for _ in range(150)]
+    rows += [(d, i, "v", 2, g, i, 0) for d in "de" for g, i in [(5, x) for x in range(6, 60000, 700)] + [(9, 11), (7000, 7003)]]
+    rows = sorted(set(rows))
+    rng.shuffle(rows)
+    got = W.assign_ordinals(spark.createDataFrame(rows, "deck_id string, idx long, type string, check_rank int, k1 long, k2 long, k3 long"))
+    numbers = {tuple(r)[:7]: r.ordinal for r in got.collect()}
+    for d in "de":
+        mine = sorted((r for r in rows if r[0] == d), key=lambda r: (*r[3:], r[1], r[2]))
+        assert [numbers[r] for r in mine] == list(range(1, len(mine) + 1))
+    assert len(numbers) == len(rows)
+
+
+def test_blocks_are_merged_without_moving_texts(spark):
+    lines = [(0, "One line,"), (1, "goes on"), (2, "and ends."), (3, "New one"), (4, "again")]
+    seg = spark.createDataFrame([("d", i, "s0", i, "textbox", t) for i, t in lines], "deck_id string, idx long, container_id string, paragraph_index int, container_kind string, original_text string")
+    merged = merge_blocks(seg).select("deck_id", "idx", "block_id", "refusal")
+    assert [(r.block_id, r.refusal) for r in merged.orderBy("idx").collect()] == [
+        (0, "container"), (0, None), (0, None), (3, "not_continuation"), (3, None)
+    ]
+    above, _, below = merged._jdf.queryExecution().executedPlan().toString().partition("Exchange")
+    assert below and "original_text" not in above
