@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segloom.catalog import fixtures as X
-from segloom.catalog.core import _PLAN, SWEEP_CTE, sweep
+from segloom.catalog.core import _PLAN, SWEEP_CTE, sweep_notes
 from segloom.catalog.registry import query
 from segloom.catalog.terms import _DICT, _merged, tokens_sql
 from segloom.operators import batching as H
 from segloom.operators import repetition as R
+from segloom.plans.cut import cut
 
 _CLEAN = "trim(replace(replace(original_text, chr(13), ' '), chr(10), ' '))"
 _UNIQ = f"""{_PLAN},
@@ -186,4 +187,5 @@ SELECT deck_id, count(*) AS total_segments, count(*) FILTER (canonical = idx) AS
   (SELECT count(DISTINCT batch_no) FROM ub WHERE ub.deck_id = plan.deck_id) AS batch_count,
   (SELECT count(*) FROM numbered n WHERE n.deck_id = plan.deck_id) AS finding_count FROM plan GROUP BY deck_id""", "segments normed glossary")
 def _run(spark, d):
-    return H.run_summary(R.repetition_plan(X.segments(spark, d)), unique_batches(spark, d), sweep(spark, d))
+    plan = cut(R.repetition_plan(X.segments(spark, d).select("deck_id", "idx", "original_text")).select("deck_id", "idx", "is_unique"))
+    return H.run_summary(plan, H.assign_batches(plan.filter("is_unique"), 25), sweep_notes(spark, d))
