@@ -139,3 +139,16 @@ def test_relocalised_blocks_of_all_decks(spark, limit):
                 if line:
                     want[deck, idx] = line
     assert got == want and want
+
+
+@pytest.mark.parametrize("name", ["run_summary", "primary_finding", "assign_ordinals"])
+def test_counts_and_ranks_move_no_texts(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    exchanged = plan.partition("Exchange")[0]
+    assert "original_text" not in exchanged and "target" not in plan
+
+
+def test_suggestions_write_no_findings(spark, monkeypatch):
+    monkeypatch.setattr(queue, "cut", None)
+    plan = entry.queries()["suggest_fix"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "src_n" not in plan and "Exchange" in plan
