@@ -278,6 +278,24 @@ def test_overflow_ratio_counts_wrapped_lines(spark):
     assert got[1] == pytest.approx(4 * 10 * 1.2 / 20) and got[2] is None
 
 
+def test_runs_are_summed_per_line_and_size_and_breaks_carry_over(spark):
+    texts = [("ab\ncd", 10.0), ("ef", 20.0), ("g\x0bh\ni", None), ("jk", 10.0), (None, None)]
+    rows = [("d", f, p, i, t, pt) for f in (1, 2) for p in (0, 1) for i, (t, pt) in enumerate(texts)] + [("d", 3, 0, i, "word", 12.0) for i in range(50)]
+    runs = spark.createDataFrame(rows, "deck_id string, frame_id int, paragraph int, run_no int, text string, font_pt double")
+    parts = J.text_parts(runs)
+    assert parts.filter("frame_id = 3").count() == 1
+    first = {(r.line, r.font_pt): (r.n, r.head) for r in parts.filter("frame_id = 1 and paragraph = 0").collect()}
+    assert first == {
+        (0, 10.0): (1, True), (1, 10.0): (0, False), (1, 20.0): (1, True), (1, None): (1, True), (2, None): (0, False),
+        (3, None): (1, False), (3, 10.0): (1, True),
+    }
+    frames = spark.createDataFrame([("d", f, 1270000, 254000) for f in (1, 2, 3)], "deck_id string, frame_id int, width_emu long, height_emu long")
+    got = {r["frame_id"]: r["ratio"] for r in J.frame_overflow_ratio(frames, runs).collect()}
+    base = 40 / 3
+    assert got[1] == got[2] == pytest.approx(2 * (base + 20 + base + base) * 1.2 / 20)
+    assert "text" not in parts.columns
+
+
 def test_style_rules(spark):
     runs = spark.createDataFrame(
         [("d", 0, 0, "Sale ", "default"), ("d", 0, 1, "up ", "default"), ("d", 0, 2, "50%", "#FF0000")], "deck_id string, idx int, run_no int, text string, color string")
