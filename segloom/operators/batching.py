@@ -140,6 +140,13 @@ def resolve_outputs(batched: DataFrame, outputs: DataFrame) -> DataFrame:
     filled from the source. If the first attempt's indices are unusable its texts are taken in
     index order, padded with source or trimmed.
     """
+    return batched.join(_placed(batched, outputs), [*_BATCH, "item"], "left").select(
+        "deck_id", "idx", F.coalesce("text", "original_text").alias("target")
+    )
+
+
+def _placed(batched: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The replies that count, with the ``item`` of their batch they belong to."""
     attempts = _reply_stats(_sizes(batched), outputs)
     state = attempts.groupBy(*_BATCH).agg(
         F.bool_or((F.col("attempt") == 1) & F.col("full")).alias("first_full"),
@@ -155,10 +162,7 @@ def resolve_outputs(batched: DataFrame, outputs: DataFrame) -> DataFrame:
     replies = outputs.withColumn("__nth", F.row_number().over(by_reply)).join(chosen, _BATCH)
     wanted = F.when(F.col("mode") == "indexed2", 2).otherwise(1)
     slot = F.when(F.col("mode") == "positional", F.col("__nth")).otherwise(F.col("item_index"))
-    placed = replies.filter(F.col("attempt") == wanted).select(*_BATCH, slot.alias("item"), "text")
-    return batched.join(placed, [*_BATCH, "item"], "left").select(
-        "deck_id", "idx", F.coalesce("text", "original_text").alias("target")
-    )
+    return replies.filter(F.col("attempt") == wanted).select(*_BATCH, slot.alias("item"), "text")
 
 
 def align_styled_outputs(styled_segments: DataFrame, outputs: DataFrame, size: int = STYLE_BATCH) -> DataFrame:
@@ -216,19 +220,32 @@ def localise(
     """Whole flow: substitute terms, work on one of each repeat, reassemble, expand, enforce.
 
     Batches whose replies are not complete are sent once more (to ``retry_fn`` if given) and only those; what is
-    still missing then keeps its source. The plan and the replies are each written once; they feed several
-    branches and the replies are the expensive part.
+    still missing then keeps its source. Plan, batches and the choice of replies are made by position; texts move to
+    their batch, and replies from there to their segments. The replies, the expensive part, are written once.
     """
-    prepared = segments.withColumn("prepared_text", F.col("original_text"))
-    if glossary is not None:
-        prepared = apply_glossary(segments, glossary)
-    plan = cut(repetition_plan(prepared))
-    batched = cut(assign_batches(plan.filter("is_unique"), size).withColumn("item", F.col("item") + 1))
-    first = cut(translate_batches(batched, fn, "prepared_text"))
-    broken = batched.join(retry_set(batched, first).select(*_BATCH), _BATCH, "left_semi")
-    second = cut(translate_batches(broken, retry_fn or fn, "prepared_text", attempt=2))
-    resolved = resolve_outputs(batched, first.unionByName(second))
-    targets = expand_repeats(plan, resolved)
+    key = ["deck_id", "idx"]
+    texts = segments.select(*key, "original_text")
+    prepared = texts.withColumn("prepared_text", F.col("original_text")) if glossary is None else apply_glossary(texts, glossary)
+    prepared = prepared.select(*key, "prepared_text")
+    plan = cut(repetition_plan(texts).drop("original_text"))
+    batched = cut(assign_batches(plan.filter("is_unique").select(*key, "repeat_count"), size).withColumn("item", F.col("item") + 1))
+    outputs = cut(translate_batches(batched.join(prepared, key), fn, "prepared_text"))
+    again = cut(retry_set(batched, outputs).select(*_BATCH))
+    if not again.isEmpty():
+        broken = batched.join(again, _BATCH, "left_semi").join(prepared, key)
+        outputs = outputs.unionByName(cut(translate_batches(broken, retry_fn or fn, "prepared_text", attempt=2)))
+    replies = outputs.withColumn("text", F.when(F.col("text").isNotNull(), F.struct("attempt", "seq")))
+    chosen = cut(batched.join(_placed(batched, replies), [*_BATCH, "item"], "left").select(
+        *key, "batch_no", "repeat_count", "text.attempt", "text.seq"
+    ))
+    resolved = chosen.join(outputs.select(*_BATCH, "attempt", "seq", F.col("text").alias("target")), [*_BATCH, "attempt", "seq"], "left")
+    lost = chosen.filter("seq is null").select(*key)
+    if not lost.isEmpty():
+        sources = texts.join(lost, key, "left_semi")
+        resolved = resolved.join(sources, key, "left").withColumn("target", F.coalesce("target", "original_text"))
+    once = resolved.filter("repeat_count = 1").select(*key, F.coalesce("target", F.lit("")).alias("target"))
+    more = expand_repeats(plan.filter("repeat_count > 1 or canonical is null"), resolved.filter("repeat_count > 1"))
+    targets = once.unionByName(more)
     pairs = segments.join(targets, ["deck_id", "idx"])
     return pairs if glossary is None else enforce_glossary(pairs, glossary)
 

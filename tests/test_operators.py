@@ -209,6 +209,20 @@ def test_batch_without_any_reply_is_sent_again(spark):
     assert got == {0: "<line 0>", 1: "<line 1>", 2: "<line 2>"}
 
 
+def test_localise_writes_replies_only_and_lost_ones_keep_their_source(spark, monkeypatch):
+    lines = ["a", "b ", "a", "c", "b", " ", "d", "b "]
+    seg = spark.createDataFrame([("d", i, t) for i, t in enumerate(lines)], "deck_id string, idx long, original_text string")
+    written, plain = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df: written.append(df.columns) or plain(df))
+    got = H.localise(seg, lambda t: [f"<{x}>" for x in t[:-1]], size=2).orderBy("idx").collect()
+    assert [r["target"] for r in got] == ["<a>", "b ", "<a>", "<c>", "b ", "", "d", "b "]
+    assert sum("text" in c for c in written) == 2 and not any({"original_text", "prepared_text"} & set(c) for c in written)
+    written.clear()
+    got = H.localise(seg, lambda t: [f"<{x}>" for x in t], size=2).orderBy("idx").collect()
+    assert [r["target"] for r in got] == ["<a>", "<b>", "<a>", "<c>", "<b>", "", "<d>", "<b>"]
+    assert sum("text" in c for c in written) == 1
+
+
 def test_texts_do_not_move_for_readers_of_keys_alone(spark):
     """The plans of the repeat search and of numbered findings exchange digests and numbers, not texts."""
     b = bitext(spark, [("one two three", "x"), ("one two three", "y"), ("z", "z")])
