@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segloom.functions import text as T
 from segloom.operators import automaton as A
+from segloom.operators import parcels as P
 from segloom.plans.cut import cut
 
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
@@ -17,11 +20,14 @@ def _tokens(text) -> Column:
 
 
 def term_table(glossary: DataFrame) -> DataFrame:
-    """One row per term: ``key`` (casefolded text), its ``tokens``, ``head`` (the first, casefolded), ``k`` of them, ``target`` of its last entry."""
-    terms = glossary.withColumn("__t", _tokens(F.col("source"))).filter(F.size("__t") > 0)
-    return terms.groupBy(T.fold("source").alias("key")).agg(
-        F.first(T.fold(F.get("__t", F.lit(0)))).alias("head"), F.first("__t").alias("tokens"),
-        F.first(F.size("__t")).alias("k"), F.max_by("target", "pos").alias("target"),
+    """One row per term: ``key`` (casefolded text), its ``tokens``, ``head`` (the first, casefolded), ``k`` of them, ``target`` of its last entry.
+
+    Equal entries are brought together first, so only distinct ones are folded and cut into tokens.
+    """
+    entries = glossary.filter("source <> ''").groupBy("source", "target").agg(F.max("pos").alias("pos"))
+    terms = entries.groupBy(P.fold_word(F.col("source")).alias("key")).agg(F.min("source").alias("source"), F.max_by("target", "pos").alias("target"))
+    return terms.withColumn("tokens", _tokens(F.col("source"))).select(
+        "key", T.fold(F.get("tokens", F.lit(0))).alias("head"), "tokens", F.size("tokens").alias("k"), "target"
     )
 
 
@@ -73,18 +79,49 @@ def _settled(candidates: DataFrame) -> DataFrame:
 _MATCH = ("start", "stop", "surface", "key", "target")
 
 
-def _places(segments: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
-    """Settled matches of each segment that has any: by automaton if the glossary can be carried, else by n-gram join."""
-    terms = cut(term_table(glossary))
-    shared = _shared(terms)
-    if shared is None:
-        return _settled(_ngrams(segments, terms, text))
-    return segments.select("deck_id", "idx", A.token_places(shared, _tokens(F.col(text))).alias("m")).filter(F.size("m") > 0)
+def _folded(terms: DataFrame) -> DataFrame:
+    """A written term table as ``parcels.in_parcels`` reads it."""
+    return terms.select(F.transform("tokens", P.fold_word).alias("tokens"), "target")
+
+
+def _in_parcels(segments: DataFrame, terms: DataFrame, text: str, said, more: str) -> DataFrame:
+    """``said(stretch, settled places)`` gives the rows of each stretch, with the number of their segment before the columns ``more``."""
+    def work(stretch: P.Stretch) -> pa.Table:
+        row, columns = said(stretch, stretch.places(0).settled())
+        return pa.table({**{c: stretch.rest[c].take(pa.array(row)) for c in ("deck_id", "idx")}, **columns})
+
+    keys = ", ".join(f"{c} {segments.schema[c].dataType.simpleString()}" for c in ("deck_id", "idx"))
+    return P.in_parcels(segments.select("deck_id", "idx", text), [text], _folded(terms), work, f"{keys}, {more}")
+
+
+def _said_places(stretch: P.Stretch, p: A.Places) -> tuple:
+    ids, surfaces = stretch.surfaces(p)
+    at = np.arange(len(p.row)) - np.searchsorted(p.row, p.row)
+    return p.row, {
+        "mpos": pa.array(at, pa.int32()), "surface": surfaces.take(pa.array(ids)), "target": stretch.targets.take(pa.array(p.term)),
+    }
+
+
+def _said_counts(stretch: P.Stretch, p: A.Places) -> tuple:
+    ids, surfaces = stretch.surfaces(p)
+    size = max(len(surfaces), 1)
+    # a surface has one term, so it stands for its target
+    named, first, n = np.unique(p.row * size + ids, return_index=True, return_counts=True)
+    return named // size, {
+        "surface": surfaces.take(pa.array(named % size)), "target": stretch.targets.take(pa.array(p.term[first])), "n": pa.array(n, pa.int64()),
+    }
 
 
 def match_positions(segments: DataFrame, glossary: DataFrame, text: str = "original_text") -> DataFrame:
-    """Every match in reading order: ``deck_id, idx, mpos, surface, target``."""
-    return _listed(_places(segments, glossary, text))
+    """Every match in reading order: ``deck_id, idx, mpos, surface, target``.
+
+    By automaton if the glossary can be carried, else parcel by parcel.
+    """
+    terms = cut(term_table(glossary))
+    shared = _shared(terms)
+    if shared is None:
+        return _in_parcels(segments, terms, text, _said_places, "mpos int, surface string, target string")
+    return _listed(segments.select("deck_id", "idx", A.token_places(shared, _tokens(F.col(text))).alias("m")))
 
 
 def _listed(places: DataFrame) -> DataFrame:
@@ -99,7 +136,11 @@ def _counted(positions: DataFrame) -> DataFrame:
 
 def glossary_match(segments: DataFrame, glossary: DataFrame) -> DataFrame:
     """Terms per segment as written there: ``deck_id, idx, surface, target, n``."""
-    return _counted(match_positions(segments, glossary))
+    terms = cut(term_table(glossary))
+    shared = _shared(terms)
+    if shared is None:
+        return _in_parcels(segments, terms, "original_text", _said_counts, "surface string, target string, n long")
+    return _counted(_listed(segments.select("deck_id", "idx", A.token_places(shared, _tokens(F.col("original_text"))).alias("m"))))
 
 
 def glossary_match_ngram(segments: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -121,8 +162,16 @@ def _woven(text: str) -> Column:
     return F.when(F.coalesce(F.size("__m"), F.lit(0)) <= 0, F.col(text)).otherwise(woven)
 
 
-def _joined(rows: DataFrame, places: DataFrame) -> DataFrame:
-    return rows.join(places.withColumnRenamed("m", "__m"), ["deck_id", "idx"], "left")
+def _rewritten(rows: DataFrame, terms: DataFrame, texts: list[str], weave, new: str) -> DataFrame:
+    """``rows`` with the column ``new``, woven stretch by stretch."""
+    columns = list(dict.fromkeys([*rows.columns, new]))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {new: "string"}
+
+    def work(stretch: P.Stretch) -> pa.Table:
+        given = {t: stretch.woven(i) for i, t in enumerate(texts) if t != new} | {new: weave(stretch)}
+        return pa.table({c: given[c] if c in given else stretch.rest[c] for c in columns})
+
+    return P.in_parcels(rows, texts, _folded(terms), work, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
 def apply_glossary(segments: DataFrame, glossary: DataFrame, text: str = "original_text") -> DataFrame:
@@ -130,9 +179,8 @@ def apply_glossary(segments: DataFrame, glossary: DataFrame, text: str = "origin
     terms = cut(term_table(glossary))
     shared = _shared(terms)
     if shared is None:
-        found = _joined(segments, _settled(_ngrams(segments, terms, text)))
-    else:
-        found = segments.withColumn("__m", A.token_places(shared, _tokens(F.col(text))))
+        return _rewritten(segments, terms, [text], lambda s: s.woven(0, s.places(0).settled()), "prepared_text")
+    found = segments.withColumn("__m", A.token_places(shared, _tokens(F.col(text))))
     return found.withColumn("prepared_text", _woven(text)).drop("__m")
 
 
@@ -144,12 +192,10 @@ def enforce_glossary(bitext: DataFrame, glossary: DataFrame) -> DataFrame:
     terms = cut(term_table(glossary))
     shared = _shared(terms)
     if shared is None:
-        own = _settled(_ngrams(bitext, terms, "original_text")).select("deck_id", "idx", F.explode("m.key").alias("key")).distinct()
-        there = _ngrams(bitext, terms, "target").join(own, ["deck_id", "idx", "key"], "left_semi")
-        found = _joined(bitext, _settled(there))
-    else:
-        sides = [_tokens(F.col(c)) for c in ("original_text", "target")]
-        found = bitext.withColumn("__m", A.own_places(shared, *sides))
+        both = ["original_text", "target"]
+        return _rewritten(bitext, terms, both, lambda s: s.woven(1, s.places(1).settled(s.places(0).settled())), "target")
+    sides = [_tokens(F.col(c)) for c in ("original_text", "target")]
+    found = bitext.withColumn("__m", A.own_places(shared, *sides))
     return found.withColumn("target", _woven("target")).select(*bitext.columns)
 
 
