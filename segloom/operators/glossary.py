@@ -145,9 +145,10 @@ def salvage_glossary_library(libraries: DataFrame, id_col: str, json_col: str) -
     return entries, rejected, active
 
 
-def spreadsheet_safe(c: str) -> Column:
+def spreadsheet_safe(c) -> Column:
     """Values a spreadsheet would run as a formula get a leading tab."""
-    return F.when(F.col(c).rlike(r"^[=+\-@]"), F.concat(F.lit("\t"), F.col(c))).otherwise(F.col(c))
+    cell = F.col(c) if isinstance(c, str) else c
+    return F.concat(F.when(F.left(cell, F.lit(1)).isin("=", "+", "-", "@"), F.lit("\t")).otherwise(F.lit("")), cell)
 
 
 def duplicate_terms(glossary: DataFrame) -> DataFrame:

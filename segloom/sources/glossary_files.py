@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
+from functools import partial
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segloom.functions import text as T
@@ -29,23 +31,48 @@ def _sniff(text: str) -> str:
 
 
 def _entries(text: str) -> list[tuple]:
-    """Entries of one file, without blank ones and the header."""
+    """Entries of one file (place among its rows that are not blank, source, target, notes), without the header."""
     csv.field_size_limit(1 << 30)
     text = text.removeprefix("\ufeff")
-    rows = csv.reader(io.StringIO(text, newline=""), delimiter=_sniff(text), strict=False)
-    filled = (row for row in rows if any(cell.strip() for cell in row))
-    cells = [(pos, *(c.strip() for c in row[:3])) for pos, row in enumerate(filled) if len(row) >= 2 and row[0].strip() and row[1].strip()]
-    if cells and cells[0][1].lower() in V.HEADER_SOURCE and cells[0][2].lower() in V.HEADER_TARGET:
-        del cells[0]
-    return [(pos, source, target, notes[0] or None if notes else None) for pos, source, target, *notes in cells]
-
-
-def _records(files: pa.Array) -> pa.Array:
-    listed = [_entries(text) for text in files.to_pylist()]
-    columns = zip(*(e for entries in listed for e in entries)) if any(listed) else [()] * 4
+    found, pos = [], -1
+    for row in csv.reader(io.StringIO(text, newline=""), delimiter=_sniff(text), strict=False):
+        cells = [c.strip() for c in row[:3]]
+        if not any(cells) and not any(c.strip() for c in row[3:]):
+            continue
+        pos += 1
+        if len(cells) > 1 and cells[0] and cells[1]:
+            found.append((pos, cells[0], cells[1], cells[2] or None if len(cells) > 2 else None))
+    if found and found[0][1].lower() in V.HEADER_SOURCE and found[0][2].lower() in V.HEADER_TARGET:
+        del found[0]
+    return found
+
+
+#: Files are handed on when they have about so many entries together.
+_LOT = 20_000
+_FILE = "path string, entries array<struct<pos:int,source:string,target:string,notes:string>>"
+
+
+def _parsed(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files (``path, value``) with their entries. However many files a batch has, only a lot of entries is held."""
     kinds = {"pos": pa.int32(), "source": pa.string(), "target": pa.string(), "notes": pa.string()}
-    flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, listed))], pa.int32()), flat)
+
+    def lot(paths: list[str], listed: list[list[tuple]]) -> pa.RecordBatch:
+        columns = list(zip(*(e for entries in listed for e in entries))) or [()] * 4
+        flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+        offsets = pa.array([0, *accumulate(map(len, listed))], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.ListArray.from_arrays(offsets, flat)], ["path", "entries"])
+
+    for batch in batches:
+        paths, listed, held = [], [], 0
+        for path, text in zip(batch["path"], batch["value"]):
+            paths.append(path.as_py())
+            listed.append(_entries(text.as_py() or ""))
+            held += len(listed[-1])
+            if held >= most:
+                yield lot(paths, listed)
+                paths, listed, held = [], [], 0
+        if paths:
+            yield lot(paths, listed)
 
 
 def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +86,12 @@ def read_glossary_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def glossary_records(files: DataFrame) -> DataFrame:
     """``read_glossary_csv`` for files kept as rows (``path, value``), as millions of small uploads should be; nothing is exchanged."""
-    return files.select("path", F.inline(F.arrow_udf(_records, "array<struct<pos:int,source:string,target:string,notes:string>>")("value")))
+    return glossary_lists(files).select("path", F.inline("entries"))
+
+
+def glossary_lists(files: DataFrame) -> DataFrame:
+    """``glossary_records`` with one row per file, for callers that need a file's entries together: ``path, entries`` in the order of the file."""
+    return files.select("path", "value").mapInArrow(partial(_parsed, _LOT), _FILE)
 
 
 def write_glossary_csv(glossary: DataFrame, path: str) -> None:
@@ -80,15 +112,13 @@ def write_glossary_csv(glossary: DataFrame, path: str) -> None:
 
 def glossary_csv_lines(glossary: DataFrame) -> DataFrame:
     """Guarded and quoted rows, ready for export: ``pos, line``."""
-    safe = glossary.select(
-        F.col("pos").cast("long").alias("pos"),
-        *[F.coalesce(T.strip(c), F.lit("")).alias(c) for c in ("source", "target", "notes")],
-    )
-    cells = [
-        F.concat(F.lit('"'), F.replace(spreadsheet_safe(c), F.lit('"'), F.lit('""')), F.lit('"'))
-        for c in ("source", "target", "notes")
-    ]
-    return safe.select("pos", F.concat_ws(",", *cells).alias("line"))
+    return glossary.select(F.col("pos").cast("long").alias("pos"), csv_line("source", "target", "notes").alias("line"))
+
+
+def csv_line(*cells) -> Column:
+    """Guarded and quoted cells of one row."""
+    safe = [spreadsheet_safe(F.coalesce(T.strip(c), F.lit(""))) for c in cells]
+    return F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in safe])
 
 
 def read_glossary_json(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame:
