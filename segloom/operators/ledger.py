@@ -91,8 +91,8 @@ def review_records(actions: DataFrame) -> DataFrame:
 
 
 def append_json(rows: DataFrame, path: str) -> None:
-    """Append ledger rows as JSON lines; readers should drop duplicate ids."""
-    rows.write.mode("append").json(path)
+    """Append ledger rows as JSON lines in gzip; readers should drop duplicate ids."""
+    rows.write.mode("append").option("compression", "gzip").json(path)
 
 
 def corpus_rollup(findings: DataFrame) -> DataFrame:
